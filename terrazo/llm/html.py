@@ -162,18 +162,27 @@ def path_hash(path: str) -> int:
 
 
 def style_nodes(root: Node) -> list[tuple[int, str, list[str], int]]:
-    """(path, presentation, texts, children) of each element under body that isn't noise by its markup; equal paths come often."""
-    out = []
-    stack: list[tuple[Node, str, bool]] = [(root, "", False)]
+    """(path, presentation, texts, children) of each block element that isn't noise by its markup; equal paths come often.
+
+    Text of inline elements belongs to the block around them.
+    """
+    out: list[tuple[int, str, list[str], int]] = []
+    stack: list[tuple[Node, str, bool, list[str]]] = [(root, "", False, [])]
     while stack:
-        node, path, inside = stack.pop()
+        node, path, inside, own = stack.pop()
         for c in node.children:
-            if isinstance(c, Node) and not is_noise(c, inside):
+            if isinstance(c, str):
+                if t := squeeze(c):
+                    own.append(t)
+            elif not is_noise(c, inside):
                 p = f"{path}/{name(c)}"
-                own = [t for x in c.children if isinstance(x, str) and (t := squeeze(x))]
-                kids = sum(isinstance(x, Node) for x in c.children)
-                out.append((path_hash(p), signature(c), own, kids))
-                stack.append((c, p, inside or c.tag in ("article", "main") or c.role.lower() in KEPT_ROLES))
+                within = inside or c.tag in ("article", "main") or c.role.lower() in KEPT_ROLES
+                if c.tag in BLOCK:
+                    texts: list[str] = []
+                    out.append((path_hash(p), signature(c), texts, sum(isinstance(x, Node) for x in c.children)))
+                    stack.append((c, p, within, texts))
+                else:
+                    stack.append((c, p, within, own))
     return out
 
 
@@ -242,9 +251,8 @@ def extract(source: str | None, removed: frozenset[int] | set[int] = frozenset()
                 continue
             p = f"{path}/{name(c)}"
             stated = inside and c.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "article", "main")
-            if removed and not stated and path_hash(p) in removed:
-                if c.tag in BLOCK:
-                    end()
+            if removed and not stated and c.tag in BLOCK and path_hash(p) in removed:
+                end()
                 continue
             if c.tag in BLOCK:
                 end()

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from terrazo.llm import decontaminate, gif, html, jaccard, licenses, mixing, sharding, substrings, toxicity, urls
 from terrazo.llm.queries import QUERIES
@@ -365,7 +366,7 @@ def test_toxicity_held_out(spark):
     rows += [(5000, None, 0), (5001, "", None), (5002, "word " * 9000 + "idiot scum", None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     net = toxicity.fit(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
-    out = toxicity.score(d.select("doc_id", "text"), net).withColumn("held", toxicity.held_out(d["doc_id"])).collect()
+    out = toxicity.score(d.select("doc_id", "text"), net).withColumn("held", toxicity.held_out(F.col("doc_id"))).collect()
     label = {r[0]: r[2] for r in rows}
     held = [(r["score"] >= 0.3, label[r["doc_id"]]) for r in out if r["held"] and label[r["doc_id"]] is not None]
     right = sum(p == bool(y) for p, y in held)
@@ -378,7 +379,7 @@ def test_toxicity_held_out(spark):
 
 def test_toxicity_does_not_read_held_out_labels(spark, sf):
     d, lab = whole(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
-    import pyspark.sql.functions as F
+
 
     flipped = lab.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a = toxicity.score(d.select("doc_id", "text"), toxicity.fit(d, lab)).collect()
@@ -399,7 +400,7 @@ def test_html_style_tree(spark):
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
     out = [(r["page_id"], r["text"], r["n_chars"]) for r in html.extract_pages(d).collect()]
     text = dict((a, b) for a, b, _ in out)
-    assert text[3] == "Second text 3"  # what all pages of the host say goes, as in a style tree
+    assert text[3] == "First para graph bold <x>\n\nSecond text 3"  # what all pages of the host say goes, as in a style tree
     assert text[51] == "plain & simple text" and text[50] == "" == text[52] and len(out) == len(rows)
     assert all(n == len(t) for _, t, n in out)
     few = html.extract_pages(d.where("page_id in (1, 3)")).collect()
