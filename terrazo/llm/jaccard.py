@@ -13,8 +13,9 @@ links reach.
 4. What is left is found exactly. Under any order of tokens two linked sets share one of the first
    n - ceil(n * PERCENT / 100) + 1 tokens. Pieces post those of their members. A posting whose pieces are all in one
    class is passed over; else its pieces of different classes are a query piece and a group piece. Tokens
-   posted by more than FEW pieces go to the end of the order and the postings are made anew, so that a
-   passage in many documents posts nothing unless a document consists of it.
+   posted by more than FEW classes, and tokens of many classes in the documents that post those, go to the end of
+   the order and the postings are made anew, so that a passage in many documents posts nothing unless a document consists of it.
+   Postings meet only where sizes and ranks leave room for a link.
 5. For each pair of pieces the bound is taken first: a member's tokens in the other's union, against what its size
    needs. Only members that reach it are opened, by a product of the bit matrices.
 6. Classes are connected components of the links.
@@ -42,15 +43,19 @@ from .kernels import LOWER_VALUES, NOT_SPACE, chunks, grams, sequence_hash, vali
 
 N = 4
 PERCENT = 85
-#: Members of a piece; pairs of minima of a document; pieces that may post one token before it is put back.
-PIECE, BANDS, FEW = 64, 5, 24
-#: Tokens put back that are sent to every executor, at most; FEW doubles until they fit.
+#: Members of a piece; pairs of minima of a document; classes that may post one token before it is put back.
+PIECE, BANDS, FEW = 64, 5, 32
+#: Tokens put back that are sent to every executor, at most; if they are more, all keep their place, which costs time only.
 PUT_BACK = 1_000_000
+#: A token is so many bits of its words' hash; a document's number in its chunk takes the others.
+TOKEN_BITS = 54
+#: Share (one in so many documents, by hash) that tokens to put back are looked for in.
+LOOK_IN = 4
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 2 * BANDS, dtype=np.uint64) | np.uint64(1)
 
 
 def token_sets(offs: np.ndarray, data: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct tokens of each document, one after the other, and how many each has."""
+    """Sorted distinct tokens of each document, one after the other, and how many each has. A chunk has at most 1000 documents."""
     w = words(offs, data, NOT_SPACE, LOWER_VALUES)
     h = w.hashes()
     ok = valid(w.doc, n)
@@ -59,11 +64,13 @@ def token_sets(offs: np.ndarray, data: np.ndarray, n: int = N) -> tuple[np.ndarr
     if len(short):
         whole = np.array([sequence_hash(h[w.first[d] : w.first[d] + w.count[d]]) for d in short], np.uint64)
         g, doc = np.concatenate((g, whole)), np.concatenate((doc, short))
-    order = np.lexsort((g, doc))
-    g, doc = g[order], doc[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
-    return g[new], np.bincount(doc[new], minlength=len(offs) - 1).astype(np.int64)
+    key = (doc.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (g >> np.uint64(64 - TOKEN_BITS))
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    count = np.bincount((key >> np.uint64(TOKEN_BITS)).astype(np.int64), minlength=len(offs) - 1).astype(np.int64)
+    return key & np.uint64((1 << TOKEN_BITS) - 1), count
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -82,74 +89,140 @@ def _sketches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count), pa.array(digest, pa.binary()), bands], names=["doc_id", "n", "digest", "bands"])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, back: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """doc, text, piece, class -> the tokens that each document posts."""
+class PutBack:
+    """Tokens that go to the end of the order."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens = np.unique(tokens.astype(np.uint64))
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(self.tokens >> np.uint64(TOKEN_BITS - 20)).astype(np.int64)] = True
+
+    def has(self, g: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(g), bool)
+        if len(self.tokens):
+            at = np.flatnonzero(self.seen[(g >> np.uint64(TOKEN_BITS - 20)).astype(np.int64)])
+            k = np.minimum(np.searchsorted(self.tokens, g[at]), len(self.tokens) - 1)
+            out[at] = self.tokens[k] == g[at]
+        return out
+
+
+def _ranked(g: np.ndarray, count: np.ndarray, back: PutBack, percent: int) -> tuple[np.ndarray, ...]:
+    """Of a chunk's tokens: document, whether put back, rank in the document's order, whether it is posted."""
+    doc = np.repeat(np.arange(len(count)), count)
+    late = back.has(g)
+    before = np.concatenate(([0], np.cumsum(late)))
+    first = np.cumsum(count) - count
+    late_before = before[:-1] - np.repeat(before[first] if len(g) else first, count)
+    place = np.arange(len(g)) - np.repeat(first, count)
+    early = count - np.bincount(doc, weights=late, minlength=len(count)).astype(np.int64)
+    rank = np.where(late, early[doc] + late_before, place - late_before)
+    posts = count - -(-count * percent // 100) + 1
+    return doc, late, rank, rank < posts[doc]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, back: PutBack) -> Iterator[pa.RecordBatch]:
+    """piece, text, class -> postings: token, piece, class, and size, rank and lateness in one number."""
     for batch in batches:
         if not batch.num_rows:
             continue
         piece, class_ = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         for lo, hi, offs, data in chunks(batch.column(1)):
             g, count = token_sets(offs, data, n)
-            doc = np.repeat(np.arange(hi - lo), count)
-            late = np.zeros(len(g), bool)
-            if len(back):
-                at = np.minimum(np.searchsorted(back, g), len(back) - 1)
-                late = back[at] == g
-            order = np.lexsort((g, late, doc))
-            rank = np.arange(len(g)) - np.repeat(np.cumsum(count) - count, count)
-            posts = count - -(-count * percent // 100) + 1
-            mine = rank < posts[doc]
-            g, doc, late = g[order][mine], doc[mine], late[order][mine]
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(piece[lo:hi][doc]), pa.array(class_[lo:hi][doc]), pa.array(late)], names=["token", "piece", "class", "late"])
-
-
-def _meet(batches: Iterator[pa.RecordBatch], few: int) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by token: pairs of pieces of different classes; tokens of many pieces (b null) instead of their pairs."""
-    held: list[np.ndarray] = []
+            doc, late, rank, mine = _ranked(g, count, back, percent)
+            doc, late, rank = doc[mine], late[mine], rank[mine]
+            packed = (count[doc] << 32) | (rank << 1) | late
+            yield pa.RecordBatch.from_arrays([pa.array(g[mine].view(np.int64)), pa.array(piece[lo:hi][doc]), pa.array(class_[lo:hi][doc]), pa.array(packed)], names=["token", "piece", "class", "packed"])
+
+
+def _around(batches: Iterator[pa.RecordBatch], n: int, percent: int, heavy: PutBack) -> Iterator[pa.RecordBatch]:
+    """All tokens, with their classes, of documents that post a heavy token."""
+    none = PutBack(np.zeros(0, np.uint64))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        class_ = batch.column(2).to_numpy()
+        for lo, hi, offs, data in chunks(batch.column(1)):
+            g, count = token_sets(offs, data, n)
+            doc, _, _, mine = _ranked(g, count, none, percent)
+            hit = np.zeros(hi - lo, bool)
+            hit[doc[mine][heavy.has(g[mine])]] = True
+            take = hit[doc]
+            yield pa.RecordBatch.from_arrays([pa.array(g[take].view(np.int64)), pa.array(class_[lo:hi][doc[take]])], names=["token", "class"])
+
+
+def _pairs(p: np.ndarray, c: np.ndarray, packed: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of pieces that postings of one token allow: other class, sizes and ranks that leave room for a link."""
+    size, rank = packed >> 32, (packed & 0xFFFFFFFF) >> 1
+    order = np.argsort(size, kind="stable")
+    p, c, size, rank = p[order], c[order], size[order], rank[order]
+    low = np.searchsorted(100 * size, percent * size, "left")  # the smallest size that a link allows
+    spans = np.arange(len(p)) - low
+    out_a, out_b = [], []
+    step = max(1, int(2_000_000 // max(1, spans.max(initial=1))))
+    for s in range(0, len(p), step):  # some postings at a time bound the arrays
+        k = np.arange(s, min(len(p), s + step))
+        i = np.repeat(k, spans[k])
+        j = np.arange(len(i)) - np.repeat(np.cumsum(spans[k]) - spans[k], spans[k]) + low[i]
+        need = -(-percent * (size[i] + size[j]) // (100 + percent))
+        room = np.minimum(size[i] - rank[i], size[j] - rank[j])
+        good = (c[i] != c[j]) & (p[i] != p[j]) & (room >= need)
+        if good.any():
+            both = np.unique(np.stack((np.minimum(p[i], p[j])[good], np.maximum(p[i], p[j])[good])), axis=1)
+            out_a.append(both[0])
+            out_b.append(both[1])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(out_a or none), np.concatenate(out_b or none)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], few: int | None, percent: int) -> Iterator[pa.RecordBatch]:
+    """Postings sorted by token: pairs of pieces. With few, tokens of more classes are named (b null) instead of their pairs."""
+    held: list[tuple] = []
     token = None
 
-    def flush() -> tuple[np.ndarray, np.ndarray, bool]:
-        p, c = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-        late = bool(held[0][2][0])
-        p, c = np.unique(np.stack((p, c)), axis=1)
+    def flush(out: tuple[list, list, list]) -> None:
+        p, c, packed = (np.concatenate(x) for x in zip(*held, strict=True))
         if (c == c[0]).all():
-            return p[:0], p[:0], False
-        if len(p) > few and not late:
-            return np.array([token]), p[:0], True
-        i, j = np.triu_indices(len(p), 1)
-        differ = (c[i] != c[j]) & (p[i] != p[j])
-        return p[i[differ]], p[j[differ]], False
-
-    def rows(a: list[np.ndarray], b: list[np.ndarray], many: list[np.ndarray]) -> pa.RecordBatch:
-        x = np.concatenate([np.zeros(0, np.int64), *a, *many])
-        y = np.concatenate([np.zeros(0, np.int64), *b])
-        b_ = pa.concat_arrays([pa.array(y), pa.nulls(len(x) - len(y), pa.int64())])
-        return pa.RecordBatch.from_arrays([pa.array(x), b_], names=["a", "b"])
+            return
+        if few is not None and not packed[0] & 1 and len(np.unique(c)) > few:
+            out[2].append(np.array([token]))
+            return
+        a, b = _pairs(p, c, packed, percent)
+        out[0].append(a)
+        out[1].append(b)
+
+    def rows(out: tuple[list, list, list]) -> pa.RecordBatch:
+        none = np.zeros(0, np.int64)
+        x, y = np.concatenate([none, *out[0], *out[2]]), np.concatenate([none, *out[1]])
+        b = pa.concat_arrays([pa.array(y), pa.nulls(len(x) - len(y), pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(x), b], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        t, p, c, late = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False))
+        t, p, c, packed = (batch.column(i).to_numpy() for i in range(4))
         cut = np.flatnonzero(np.diff(t)) + 1
         starts, ends = np.concatenate(([0], cut)), np.append(cut, len(t))
         # Most tokens are posted within one class; only the others, and what touches the batch's ends, are looked at.
         busy = np.flatnonzero(np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts))
-        look = np.union1d(busy, [0, len(starts) - 1])
-        a, b, many = [], [], []
-        for k in look.tolist():
+        # Tokens with two postings, by far the most of these, are looked at all at once.
+        two = busy[(ends[busy] - starts[busy] == 2) & (busy > 0) & (busy < len(starts) - 1)]
+        i, j = starts[two], starts[two] + 1
+        size, rank = packed >> 32, (packed & 0xFFFFFFFF) >> 1
+        room = np.minimum(size[i] - rank[i], size[j] - rank[j])
+        good = (room >= -(-percent * (size[i] + size[j]) // (100 + percent))) & (p[i] != p[j])
+        out: tuple[list, list, list] = ([p[i[good]]], [p[j[good]]], [])
+        for k in np.union1d(np.setdiff1d(busy, two), [0, len(starts) - 1]).tolist():
             s, e = starts[k], ends[k]
             if held and t[s] != token:
-                x, y, over = flush()
-                (many if over else a).append(x)
-                if not over:
-                    b.append(y)
+                flush(out)
                 held = []
             token = t[s]
-            held.append((p[s:e], c[s:e], late[s:e]))
-        yield rows(a, b, many)
+            held.append((p[s:e], c[s:e], packed[s:e]))
+        yield rows(out)
     if held:
-        x, y, over = flush()
-        yield rows([] if over else [x], [] if over else [y], [x] if over else [])
+        out = ([], [], [])
+        flush(out)
+        yield rows(out)
 
 
 def _blobs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -274,20 +347,22 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = scratch.cut(rows.mapInArrow(lambda b: _sketches(b, n), "doc_id long, n long, digest binary, bands array<long>"), "sets")
-    nodes = sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    nodes = sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n").alias("n"))
     # Group by the first pair of minima; a large group is dealt into pieces by hash.
-    nodes = scratch.cut(nodes.groupBy("node").agg(F.first("bands").alias("bands")), "nodes")
+    nodes = scratch.cut(nodes.groupBy("node").agg(F.first("bands").alias("bands"), F.min("n").alias("least"), F.max("n").alias("most")), "nodes")
     first = F.col("bands")[0]
     group = nodes.groupBy(first.alias("g")).agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead"))
     placed = nodes.join(group, first == F.col("g"))
     deal = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / F.lit(PIECE)))
     deal = F.when(F.col("members") <= PIECE, F.lit(0)).otherwise(deal)
-    placed = scratch.cut(placed.select("node", "bands", F.xxhash64("g", deal).alias("piece"), "members"), "placed")
+    placed = scratch.cut(placed.select("node", "bands", "least", "most", F.xxhash64("g", deal).alias("piece"), "members"), "placed")
 
     # Linear joins: within pieces of several members, and of each piece with the first that shares a pair of minima.
-    seen = placed.select("piece", F.explode("bands").alias("band"))
-    lead = seen.groupBy("band").agg(F.min("piece").alias("lead"), F.max("piece").alias("last")).where("lead <> last").select(F.col("band").alias("_band"), "lead")
-    near = seen.join(lead, F.col("band") == F.col("_band")).where("piece <> lead").select(F.col("piece").alias("a"), F.col("lead").alias("b")).distinct()
+    span = placed.groupBy("piece").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    seen = placed.select("piece", F.explode("bands").alias("band")).join(span, "piece").select("band", F.struct("piece", "least", "most").alias("p"))
+    lead = seen.groupBy("band").agg(F.min("p").alias("lead"), F.max("p.piece").alias("last")).where("lead.piece <> last").select(F.col("band").alias("_band"), "lead")
+    fits = f"p.piece <> lead.piece AND 100 * p.most >= {percent} * lead.least AND 100 * lead.most >= {percent} * p.least"
+    near = seen.join(lead, F.col("band") == F.col("_band")).where(fits).select(F.col("p.piece").alias("a"), F.col("lead.piece").alias("b")).distinct()
     within = placed.where("members > 1").select(F.col("piece").alias("a"), F.lit(None).cast("long").alias("b")).distinct()
     near = scratch.cut(near.unionByName(within), "near")
     has_repeats = bool(sets.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count())
@@ -314,22 +389,33 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     member = placed.select("node", "piece").join(class_of.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.col("node").alias("_id"), "piece", F.coalesce("component", "node").alias("class"))
     member = scratch.cut(member, "member")
     held = rows.join(member, F.col("doc_id") == F.col("_id")).select("piece", "text", "class")
-    back, few = np.zeros(0, np.uint64), FEW
-    for attempt in range(40):
+
+    def meet(back: PutBack, few: int | None, tag: str) -> DataFrame:
         shared = spark.sparkContext.broadcast(back)
-        posted = held.mapInArrow(lambda b, shared=shared: _prefixes(b, n, percent, shared.value), "token long, piece long, class long, late boolean")
-        met = posted.repartition("token").sortWithinPartitions("token").mapInArrow(lambda b, few=few: _meet(b, few), "a long, b long")
-        met = scratch.cut(met, f"met{attempt}")
-        many = met.where("b is null").select("a")
-        k = many.count()
-        if not k:
-            break
-        if k + len(back) > PUT_BACK:
-            few *= 2
-            continue
-        more = np.array([r[0] for r in many.toLocalIterator()], np.int64).view(np.uint64)
-        back = np.unique(np.concatenate((back, more)))
-        scratch.drop(f"met{attempt}")
+        posted = held.mapInArrow(lambda b: _prefixes(b, n, percent, shared.value), "token long, piece long, class long, packed long")
+        met = posted.repartition("token").sortWithinPartitions("token").mapInArrow(lambda b: _meet(b, few, percent), "a long, b long")
+        return scratch.cut(met, tag)
+
+    def few_tokens(df: DataFrame) -> np.ndarray | None:
+        """The tokens, if they are few enough to be sent to every executor."""
+        k = df.count()
+        return None if k > PUT_BACK else np.array([r[0] for r in df.toLocalIterator()], np.int64).view(np.uint64)
+
+    met = meet(PutBack(np.zeros(0, np.uint64)), FEW, "met0")
+    heavy = few_tokens(met.where("b is null").select("a"))
+    if heavy is None or len(heavy):
+        # Other tokens of the documents that post heavy ones may be as heavy: those of many classes go back too.
+        back = heavy if heavy is not None else np.zeros(0, np.uint64)
+        if len(back):
+            shared = spark.sparkContext.broadcast(PutBack(back))
+            some = held.where(F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(LOOK_IN)) == 0)
+            around = some.mapInArrow(lambda b: _around(b, n, percent, shared.value), "token long, class long")
+            more = around.groupBy("token", "class").agg(F.lit(1).alias("x")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+            more = few_tokens(scratch.cut(more.where(F.col("c") > max(1, FEW // LOOK_IN)).select("token"), "around"))
+            back = np.concatenate((back, more)) if more is not None else back
+        scratch.drop("met0", "around")
+        # Whatever is still posted by many classes now meets too, within the bounds of sizes and ranks.
+        met = meet(PutBack(back), None, "met1")
     pairs = met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = verify(scratch.cut(pairs, "pairs"), "rest")
     final = components(found.unionByName(rest), scratch, "last")

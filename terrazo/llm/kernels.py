@@ -66,12 +66,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs, data
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, offsets from 0, bytes), of about limit bytes each; a longer text is a chunk of its own."""
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = 1000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, offsets from 0, bytes), of about limit bytes and at most so many rows; a longer text is a chunk of its own."""
     offs, data = utf8(column)
     lo, n = 0, len(offs) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1))
         yield lo, hi, offs[lo : hi + 1] - offs[lo], data[offs[lo] : offs[hi]]
         lo = hi
 
