@@ -99,7 +99,7 @@ class Index:
         self.need = np.array(self.bound, np.int64)
 
     def regions(self, data: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item number, first and last diagonal) of the bands of folded data that reach their bound."""
+        """(item number, first and last diagonal) of the bands of folded data that reach their bound, the fullest first."""
         g = qgrams(data)
         if not len(g) or not len(self.grams):
             return []
@@ -122,12 +122,16 @@ class Index:
         good = np.flatnonzero(counts + joined >= self.need[owner])
         alone = np.flatnonzero(counts >= self.need[owner])  # the band that ends with this cell holds no more than this one
         good = np.union1d(good, alone)
+        good = good[np.argsort(-(counts + joined)[good], kind="stable")]
         return [(int(owner[i]), int(cell[i] * self.step[owner[i]]), int((cell[i] + 2) * self.step[owner[i]] - 1)) for i in good]
 
     def align(self, i: int, data: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
         """(edits, start, end) of the best alignment of item i in data whose diagonals are within the budget of [low, high]."""
         pattern, e = self.text[i], self.budget[i]
         a, b = max(0, low - e), min(len(data), high + e + len(pattern))
+        whole = data[a:b].tobytes().find(pattern.tobytes())
+        if whole >= 0:
+            return 0, a + whole, a + whole + len(pattern)
         return banded(pattern, data[a:b], a, low - e, high + e, e)
 
 
@@ -136,6 +140,8 @@ def banded(pattern: np.ndarray, text: np.ndarray, offset: int, low: int, high: i
 
     Cells are (pattern row, diagonal). A cell that starts in the text costs nothing. Gives None over the budget.
     """
+    if over_budget(pattern, text, low - offset, high - offset, budget):
+        return None
     width = high - low + 1
     big = np.int32(1 << 28)
     diagonals = np.arange(low, high + 1) - offset
@@ -164,6 +170,28 @@ def banded(pattern: np.ndarray, text: np.ndarray, offset: int, low: int, high: i
     return best, int(begin[d]) + offset, int(diagonals[d]) + len(pattern) + offset
 
 
+def over_budget(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> bool:
+    """Whether no place of text within the band is within the budget: the costs alone, left as soon as all are over it.
+
+    The text is continued by bytes that match nothing; to use one costs as much as to lose the pattern's byte.
+    """
+    width, left, right = high - low + 1, max(0, -low), max(0, high + len(pattern) - len(text))
+    text = np.concatenate((np.zeros(left, np.uint8), text, np.zeros(right, np.uint8)))
+    steps = np.arange(width, dtype=np.int32)
+    cost, lost = np.zeros(width, np.int32), np.full(width, 1 << 28, np.int32)
+    for row, byte in enumerate(pattern):
+        at = row + low + left
+        np.add(cost[1:], 1, out=lost[:-1])
+        cost += text[at : at + width] != byte
+        np.minimum(cost, lost, out=cost)
+        cost -= steps
+        np.minimum.accumulate(cost, out=cost)
+        cost += steps
+        if row & 7 == 7 and cost.min() > budget:
+            return True
+    return bool(cost.min() > budget)
+
+
 def matches_in(data: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
     """(item number, edits, start, end) of items in a document's bytes; the best place for each item."""
     folded, where = fold(data)
@@ -174,6 +202,8 @@ def matches_in(data: np.ndarray, index: Index) -> list[tuple[int, int, int, int]
     while lo < len(folded):
         piece = folded[lo : lo + CHUNK + reach]
         for i, low, high in index.regions(piece):
+            if i in found and not found[i][0]:
+                continue
             got = index.align(i, piece, low, high)
             if got and (i not in found or got[0] < found[i][0]):
                 found[i] = (got[0], got[1] + lo, got[2] + lo)
@@ -246,14 +276,12 @@ def _search_group(group: tuple[int, int], offs: np.ndarray, data: np.ndarray, in
     whole = np.concatenate(parts)
     begins = np.array(starts)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    tried: dict[tuple[int, int], set] = {}
     for i, low, high in index.regions(whole):
         middle = (low + high) // 2 + len(index.text[i]) // 2
         k = int(np.clip(np.searchsorted(begins, middle, "right") - 1, 0, len(begins) - 1))
         for d in {k, min(k + 1, len(begins) - 1)}:  # the band's middle may lie in the gap before the document
-            if (low, high) in tried.setdefault((d, i), set()):
+            if (d, i) in best and not best[d, i][0]:
                 continue
-            tried[d, i].add((low, high))
             folded = parts[2 * d]
             a, b = low - starts[d], high - starts[d]
             if b + len(index.text[i]) + index.budget[i] < 0 or a - index.budget[i] > len(folded):
