@@ -1,5 +1,10 @@
 """All registered queries of the engine."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from terrazo.plans import core, statistics  # noqa: F401  each registers its queries
+from terrazo.plans.registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "entity_report"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -32,3 +33,12 @@ def session(name: str = "terrazo", cores: str = "*", shuffle_partitions: int = 8
     spark = b.config(map=settings | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared checkpoint folder; in a temporary one only where none is named."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.terrazo.checkpoint.dir", None)
+    if not named:
+        named = tempfile.mkdtemp(prefix="terrazo-")
+        spark.conf.set("spark.terrazo.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
