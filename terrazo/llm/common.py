@@ -2,33 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazo.session import ship
+from terrazo.session import scratch_path, ship
 
 #: Largest table, in rows of a few numbers each, that an operator sends to every executor.
 BROADCAST_ROWS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.terrazo.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="terrazo-")
-        spark.conf.set("spark.terrazo.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 class Scratch:
     """Tables that one call writes to the shared folder. drop() removes those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, scratch_path(spark, name)
 
     def cut(self, df: DataFrame, tag: str) -> DataFrame:
         """Write df and read it back: later stages restart from the files, not from df's lineage."""
@@ -41,6 +31,9 @@ class Scratch:
         for tag in tags:
             p = path(f"{self.root}/{tag}")
             p.getFileSystem(conf).delete(p, True)
+        # Shuffle files of plans that are gone go when the driver's garbage is collected.
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -10,12 +10,14 @@ links reach.
 3. In each piece, and between pieces of a group (each against the group's first) and of documents that
    share another pair of minima (each against the first), links are found. These linear joins bring nearly
    all copies into one class, whatever the size of the group.
+   Then neighbours by size in the postings of step 4 are tried, which is linear too.
 4. What is left is found exactly. Under any order of tokens two linked sets share one of the first
    n - ceil(n * PERCENT / 100) + 1 tokens. Pieces post those of their members. A posting whose pieces are all in one
    class is passed over; else its pieces of different classes are a query piece and a group piece. Tokens
    posted by more than FEW classes, and tokens of many classes in the documents that post those, go to the end of
    the order and the postings are made anew, so that a passage in many documents posts nothing unless a document consists of it.
-   Postings meet only where sizes and ranks leave room for a link.
+   Postings meet only where sizes leave room for a link, and pairs go on only if they share as many posted
+   tokens as a link must.
 5. For each pair of pieces the bound is taken first: a member's tokens in the other's union, against what its size
    needs. Only members that reach it are opened, by a product of the bit matrices.
 6. Classes are connected components of the links.
@@ -50,7 +52,7 @@ PUT_BACK = 1_000_000
 #: A token is so many bits of its words' hash; a document's number in its chunk takes the others.
 TOKEN_BITS = 54
 #: Share (one in so many documents, by hash) that tokens to put back are looked for in.
-LOOK_IN = 4
+LOOK_IN = 16
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 2 * BANDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -121,16 +123,16 @@ def _ranked(g: np.ndarray, count: np.ndarray, back: PutBack, percent: int) -> tu
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, back: PutBack) -> Iterator[pa.RecordBatch]:
-    """piece, text, class -> postings: token, piece, class, and size, rank and lateness in one number."""
+    """piece, text, class -> postings: token, piece, class, and size and lateness in one number."""
     for batch in batches:
         if not batch.num_rows:
             continue
         piece, class_ = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         for lo, hi, offs, data in chunks(batch.column(1)):
             g, count = token_sets(offs, data, n)
-            doc, late, rank, mine = _ranked(g, count, back, percent)
-            doc, late, rank = doc[mine], late[mine], rank[mine]
-            packed = (count[doc] << 32) | (rank << 1) | late
+            doc, late, _, mine = _ranked(g, count, back, percent)
+            doc, late = doc[mine], late[mine]
+            packed = (count[doc] << 32) | late
             yield pa.RecordBatch.from_arrays([pa.array(g[mine].view(np.int64)), pa.array(piece[lo:hi][doc]), pa.array(class_[lo:hi][doc]), pa.array(packed)], names=["token", "piece", "class", "packed"])
 
 
@@ -150,51 +152,71 @@ def _around(batches: Iterator[pa.RecordBatch], n: int, percent: int, heavy: PutB
             yield pa.RecordBatch.from_arrays([pa.array(g[take].view(np.int64)), pa.array(class_[lo:hi][doc[take]])], names=["token", "class"])
 
 
-def _pairs(p: np.ndarray, c: np.ndarray, packed: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of pieces that postings of one token allow: other class, sizes and ranks that leave room for a link."""
-    size, rank = packed >> 32, (packed & 0xFFFFFFFF) >> 1
-    order = np.argsort(size, kind="stable")
-    p, c, size, rank = p[order], c[order], size[order], rank[order]
+def _bounds(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of postings (size above, lateness below) of one token: whether the sizes leave room for a link, and how
+    many posted tokens a link shares at least: beyond the shorter prefix lie as many tokens as the longer rest has."""
+    sx, sy = x >> 32, y >> 32
+    overlap = -(-percent * (sx + sy) // (100 + percent))
+    rest = np.maximum(-(-sx * percent // 100), -(-sy * percent // 100)) - 1
+    return 100 * np.minimum(sx, sy) >= percent * np.maximum(sx, sy), np.maximum(1, overlap - rest)
+
+
+def _once(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, the smaller piece first, with its least need."""
+    order = np.lexsort((need, np.maximum(a, b), np.minimum(a, b)))
+    a, b, need = np.minimum(a, b)[order], np.maximum(a, b)[order], need[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new], need[new]
+
+
+def _pairs(p: np.ndarray, c: np.ndarray, packed: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of pieces that postings of one token allow: other class, sizes that leave room for a link."""
+    order = np.argsort(packed >> 32, kind="stable")
+    p, c, packed = p[order], c[order], packed[order]
+    size = packed >> 32
     low = np.searchsorted(100 * size, percent * size, "left")  # the smallest size that a link allows
     spans = np.arange(len(p)) - low
-    out_a, out_b = [], []
+    out = [(np.zeros(0, np.int64),) * 3]
     step = max(1, int(2_000_000 // max(1, spans.max(initial=1))))
     for s in range(0, len(p), step):  # some postings at a time bound the arrays
         k = np.arange(s, min(len(p), s + step))
         i = np.repeat(k, spans[k])
         j = np.arange(len(i)) - np.repeat(np.cumsum(spans[k]) - spans[k], spans[k]) + low[i]
-        need = -(-percent * (size[i] + size[j]) // (100 + percent))
-        room = np.minimum(size[i] - rank[i], size[j] - rank[j])
-        good = (c[i] != c[j]) & (p[i] != p[j]) & (room >= need)
-        if good.any():
-            both = np.unique(np.stack((np.minimum(p[i], p[j])[good], np.maximum(p[i], p[j])[good])), axis=1)
-            out_a.append(both[0])
-            out_b.append(both[1])
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(out_a or none), np.concatenate(out_b or none)
+        room, need = _bounds(packed[i], packed[j], percent)
+        good = (c[i] != c[j]) & (p[i] != p[j]) & room
+        out.append((p[i[good]], p[j[good]], need[good]))
+    return _once(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+
+def _neighbours(p: np.ndarray, c: np.ndarray, packed: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of those pairs, the ones that follow each other in order of size."""
+    order = np.argsort(packed >> 32, kind="stable")
+    p, c, packed = p[order], c[order], packed[order]
+    room, need = _bounds(packed[:-1], packed[1:], percent)
+    good = (c[:-1] != c[1:]) & (p[:-1] != p[1:]) & room
+    return _once(p[:-1][good], p[1:][good], need[good])
 
 
 def _meet(batches: Iterator[pa.RecordBatch], few: int | None, percent: int) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by token: pairs of pieces. With few, tokens of more classes are named (b null) instead of their pairs."""
+    """Postings sorted by token: pairs of pieces. With few, only neighbours meet, and tokens of more classes are named (b null)."""
     held: list[tuple] = []
     token = None
 
-    def flush(out: tuple[list, list, list]) -> None:
+    def flush(out: tuple[list, list, list, list]) -> None:
         p, c, packed = (np.concatenate(x) for x in zip(*held, strict=True))
         if (c == c[0]).all():
             return
-        if few is not None and not packed[0] & 1 and len(np.unique(c)) > few:
+        if few is not None and len(np.unique(c)) > few:
             out[2].append(np.array([token]))
-            return
-        a, b = _pairs(p, c, packed, percent)
-        out[0].append(a)
-        out[1].append(b)
+        for to, x in zip((out[0], out[1], out[3]), (_pairs if few is None else _neighbours)(p, c, packed, percent), strict=True):
+            to.append(x)
 
-    def rows(out: tuple[list, list, list]) -> pa.RecordBatch:
+    def rows(out: tuple[list, list, list, list]) -> pa.RecordBatch:
         none = np.zeros(0, np.int64)
-        x, y = np.concatenate([none, *out[0], *out[2]]), np.concatenate([none, *out[1]])
-        b = pa.concat_arrays([pa.array(y), pa.nulls(len(x) - len(y), pa.int64())])
-        return pa.RecordBatch.from_arrays([pa.array(x), b], names=["a", "b"])
+        x, y, need = np.concatenate([none, *out[0], *out[2]]), np.concatenate([none, *out[1]]), np.concatenate([none, *out[3]])
+        b, n = (pa.concat_arrays([pa.array(v), pa.nulls(len(x) - len(v), pa.int64())]) for v in (y, need))
+        return pa.RecordBatch.from_arrays([pa.array(x), b, n], names=["a", "b", "need"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -207,10 +229,10 @@ def _meet(batches: Iterator[pa.RecordBatch], few: int | None, percent: int) -> I
         # Tokens with two postings, by far the most of these, are looked at all at once.
         two = busy[(ends[busy] - starts[busy] == 2) & (busy > 0) & (busy < len(starts) - 1)]
         i, j = starts[two], starts[two] + 1
-        size, rank = packed >> 32, (packed & 0xFFFFFFFF) >> 1
-        room = np.minimum(size[i] - rank[i], size[j] - rank[j])
-        good = (room >= -(-percent * (size[i] + size[j]) // (100 + percent))) & (p[i] != p[j])
-        out: tuple[list, list, list] = ([p[i[good]]], [p[j[good]]], [])
+        room, need = _bounds(packed[i], packed[j], percent)
+        good = room & (p[i] != p[j])
+        # One row for each token that a pair shares: they are counted.
+        out: tuple[list, list, list, list] = ([np.minimum(p[i[good]], p[j[good]])], [np.maximum(p[i[good]], p[j[good]])], [], [need[good]])
         for k in np.union1d(np.setdiff1d(busy, two), [0, len(starts) - 1]).tolist():
             s, e = starts[k], ends[k]
             if held and t[s] != token:
@@ -220,7 +242,7 @@ def _meet(batches: Iterator[pa.RecordBatch], few: int | None, percent: int) -> I
             held.append((p[s:e], c[s:e], packed[s:e]))
         yield rows(out)
     if held:
-        out = ([], [], [])
+        out = ([], [], [], [])
         flush(out)
         yield rows(out)
 
@@ -385,15 +407,20 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     found = verify(near, "near")
     class_of = scratch.cut(components(found, scratch, "first"), "classes")
 
-    # The exact rest: postings of pieces, with tokens of many pieces put back until none is left.
-    member = placed.select("node", "piece").join(class_of.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.col("node").alias("_id"), "piece", F.coalesce("component", "node").alias("class"))
-    member = scratch.cut(member, "member")
-    held = rows.join(member, F.col("doc_id") == F.col("_id")).select("piece", "text", "class")
+    # The rest: postings of pieces. First neighbours in a posting meet, which is linear and joins most classes that
+    # belong together; then all that are still of different classes.
+    def members_of(class_of: DataFrame, tag: str) -> DataFrame:
+        named = class_of.withColumnRenamed("node", "_node")
+        member = placed.select("node", "piece").join(named, F.col("node") == F.col("_node"), "left")
+        member = scratch.cut(member.select(F.col("node").alias("_id"), "piece", F.coalesce("component", "node").alias("class")), tag)
+        return rows.join(member, F.col("doc_id") == F.col("_id")).select("piece", "text", "class")
 
-    def meet(back: PutBack, few: int | None, tag: str) -> DataFrame:
+    held = members_of(class_of, "member")
+
+    def meet(held: DataFrame, back: PutBack, few: int | None, tag: str) -> DataFrame:
         shared = spark.sparkContext.broadcast(back)
         posted = held.mapInArrow(lambda b: _prefixes(b, n, percent, shared.value), "token long, piece long, class long, packed long")
-        met = posted.repartition("token").sortWithinPartitions("token").mapInArrow(lambda b: _meet(b, few, percent), "a long, b long")
+        met = posted.repartition("token").sortWithinPartitions("token").mapInArrow(lambda b: _meet(b, few, percent), "a long, b long, need long")
         return scratch.cut(met, tag)
 
     def few_tokens(df: DataFrame) -> np.ndarray | None:
@@ -401,24 +428,39 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         k = df.count()
         return None if k > PUT_BACK else np.array([r[0] for r in df.toLocalIterator()], np.int64).view(np.uint64)
 
-    met = meet(PutBack(np.zeros(0, np.uint64)), FEW, "met0")
+    def counted(met: DataFrame, share: int) -> DataFrame:
+        """Pairs of pieces that share as many posted tokens as a link must (one in share of them, where not all meet)."""
+        pairs = met.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need"))
+        return pairs.where(F.col("shared") * share >= F.col("need")).select("a", "b")
+
+    met = meet(held, PutBack(np.zeros(0, np.uint64)), FEW, "met0")
     heavy = few_tokens(met.where("b is null").select("a"))
-    if heavy is None or len(heavy):
+    back = heavy if heavy is not None else np.zeros(0, np.uint64)
+    if len(back):
         # Other tokens of the documents that post heavy ones may be as heavy: those of many classes go back too.
-        back = heavy if heavy is not None else np.zeros(0, np.uint64)
-        if len(back):
-            shared = spark.sparkContext.broadcast(PutBack(back))
-            some = held.where(F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(LOOK_IN)) == 0)
-            around = some.mapInArrow(lambda b: _around(b, n, percent, shared.value), "token long, class long")
-            more = around.groupBy("token", "class").agg(F.lit(1).alias("x")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-            more = few_tokens(scratch.cut(more.where(F.col("c") > max(1, FEW // LOOK_IN)).select("token"), "around"))
-            back = np.concatenate((back, more)) if more is not None else back
-        scratch.drop("met0", "around")
-        # Whatever is still posted by many classes now meets too, within the bounds of sizes and ranks.
-        met = meet(PutBack(back), None, "met1")
-    pairs = met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        shared = spark.sparkContext.broadcast(PutBack(back))
+        some = held.where(F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(LOOK_IN)) == 0)
+        around = some.mapInArrow(lambda b: _around(b, n, percent, shared.value), "token long, class long")
+        more = around.groupBy("token", "class").agg(F.lit(1).alias("x")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+        more = few_tokens(scratch.cut(more.where(F.col("c") > FEW // LOOK_IN).select("token"), "around"))
+        back = np.concatenate((back, more)) if more is not None else back
+    tried = scratch.cut(counted(met, 4), "tried")
+    scratch.drop("met0", "around")
+    star = lambda c: c.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+    def between(links: DataFrame, class_of: DataFrame) -> DataFrame:
+        """The links as links of classes, each once."""
+        for c in ("a", "b"):
+            of = class_of.select(F.col("node").alias(f"_{c}"), F.col("component").alias(f"_c{c}"))
+            links = links.join(of, F.col(c) == F.col(f"_{c}"), "left").withColumn(c, F.coalesce(f"_c{c}", c)).drop(f"_{c}", f"_c{c}")
+        return links.where("a <> b").distinct()
+
+    joined = scratch.cut(components(star(class_of).unionByName(between(verify(tried, "tried"), class_of)), scratch, "second"), "classes2")
+    held = members_of(joined, "member2")
+    met = meet(held, PutBack(back), None, "met1")
+    pairs = counted(met, 1).join(tried.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
     rest = verify(scratch.cut(pairs, "pairs"), "rest")
-    final = components(found.unionByName(rest), scratch, "last")
+    final = components(star(joined).unionByName(between(rest, joined)), scratch, "last")
 
     reps = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node")).join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return sets.join(reps, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
