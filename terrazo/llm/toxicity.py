@@ -36,7 +36,8 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 #: Labelled documents that the network is trained on, at most (on average of the draw by hash).
 TRAIN_ROWS = 6000
-EPOCHS = 6
+#: Passes over the training rows at least, and steps (of 64 rows) at least.
+EPOCHS, STEPS = 6, 1200
 CUT = 0.3
 #: Function words by language.
 LANGUAGES = {
@@ -177,15 +178,17 @@ def train(rows: list[tuple[bytes, int, int]], seed: int = 5) -> Network:
     net.e[:, 0] = np.clip(np.where(present.sum(0) >= 2, odds, 0), -2, 4) / 4
     net.training, state, step = True, {}, 0
     weight = np.where(labels == 1, 0.5 * len(fit) / n1, 0.5 * len(fit) / n0).astype(np.float32)
-    for epoch in range(EPOCHS):
-        for batch in np.array_split(rng.permutation(fit), max(1, len(fit) // 64)):
+    parts = max(1, len(fit) // 64)
+    steps = max(EPOCHS * parts, STEPS)
+    while step < steps:
+        for batch in np.array_split(rng.permutation(fit), parts):
             step += 1
             x = np.concatenate([ids[i] for i in batch]) if len(batch) else np.zeros((0, 3), np.int32)
             count = np.array([len(ids[i]) for i in batch])
             top, where = net.pool(x, count)
             p = 1 / (1 + np.exp(-np.clip(top @ net.out + net.bias, -30, 30)))
             g = ((p - labels[batch]) * weight[batch] / len(batch)).astype(np.float32)
-            rate = 0.01 * (0.6**epoch)
+            rate = 0.01 * 0.05 ** (step / steps)
             d_top = g[:, None] * net.out[None, :]
             d_out = top.T @ g + 1e-4 * net.out
             bias = np.array([net.bias])
