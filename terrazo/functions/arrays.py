@@ -141,3 +141,11 @@ def _beta(x: float, a: float, b: float) -> float:
         if abs(1 - c * d) < 1e-14:
             break
     return front * (f - 1)
+
+
+def loo_errors(x: np.ndarray, y: np.ndarray, target: np.ndarray, degree: int) -> np.ndarray:
+    """Leave-one-out residuals of a polynomial surface, from the diagonal of its hat matrix."""
+    terms = np.stack([x**i * y**j for i in range(degree + 1) for j in range(degree + 1 - i)], 1)
+    q, _ = np.linalg.qr(terms)
+    residual = target - q @ (q.T @ target)
+    return residual / np.maximum(1 - (q * q).sum(1), 1e-12)

@@ -435,3 +435,24 @@ def stream_trailing_sum(spark, d):
 
     path = scratch_path(spark, "stream")
     return trailing.run_to_end(trailing.windowed_sums(trailing.read_events(spark, d)), f"{path}/out", f"{path}/checkpoint")
+
+
+@query("wcm_sensitivity", "WITH s AS (SELECT p_partkey, k, 0.02*p_size/10.0*cos(radians(35))*(1-exp(-2*0.3*p_size/10.0/cos(radians(35))))+0.1*f*exp(-2*0.3*p_size/10.0/cos(radians(35))) p FROM part, (VALUES ('dry',0.92),('wet',1.08)) t(k,f)), b AS (SELECT p_partkey, avg(p) base FROM s GROUP BY 1) SELECT k AS scenario, round(median(p-base),8) delta FROM s JOIN b USING(p_partkey) GROUP BY 1")
+def wcm_sensitivity(spark, d):
+    t = F.broadcast(spark.createDataFrame([("dry", 0.92), ("wet", 1.08)], "scenario string, f double"))
+    s = table(spark, d, "part").crossJoin(t).withColumn("p", S.wcm_forward(F.col("p_size") / 10.0, 0.02, 0.3, 0.1 * F.col("f"), 35.0))
+    b = s.groupBy(F.col("p_partkey").alias("k")).agg(F.avg("p").alias("base"))
+    return s.join(b, F.col("p_partkey") == F.col("k")).groupBy("scenario").agg(r(F.median(F.col("p") - F.col("base")), 8).alias("delta"))
+
+
+@query("loo_poly")
+def loo_poly(spark, d):
+    """Leave-one-out error of polynomial surfaces of degree 1 to 3, one group of control points at a time."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y, t = (rows[c].to_numpy(float) for c in ("x", "y", "t"))
+        k = [n for n in (1, 2, 3) if len(rows) > 2 * (n + 1) * (n + 2) // 2]
+        return pd.DataFrame({"label": rows["label"].iloc[0], "degree": k, "rmse": [float(np.sqrt((K.loo_errors(x, y, t, n) ** 2).mean())) for n in k]})
+
+    e = F.col("embedding")
+    g = table(spark, d, "embeddings").select("label", e[0].cast("double").alias("x"), e[1].cast("double").alias("y"), e[2].cast("double").alias("t"))
+    return g.groupBy("label").applyInPandas(run, f"label {dict(g.dtypes)['label']}, degree int, rmse double")

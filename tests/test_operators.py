@@ -110,3 +110,15 @@ def test_csv_nan_and_ledger(spark, tmp_path):
     for s in ("a", "b"):
         IO.append_ledger(spark, str(tmp_path / "l"), s, {"n": "1"})
     assert IO.read_ledger(spark, str(tmp_path / "l")).count() == 2
+
+
+def test_loo_errors_against_refits():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(2, 30))
+    t = x * y + rng.normal(size=30)
+    terms = np.stack([x**i * y**j for i in range(3) for j in range(3 - i)], 1)
+    want = []
+    for i in range(30):
+        keep = np.arange(30) != i
+        want.append(t[i] - terms[i] @ np.linalg.lstsq(terms[keep], t[keep], rcond=None)[0])
+    assert np.allclose(K.loo_errors(x, y, t, 2), want)
