@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrazo.plans import core, statistics  # noqa: F401  each registers its queries
+from terrazo.plans import core, geometry, statistics  # noqa: F401  each registers its queries
 from terrazo.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "entity_report"
