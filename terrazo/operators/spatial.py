@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrazo.session import scratch_path
+
 
 def shoelace_centroid(rings: DataFrame) -> DataFrame:
     """rings: id, part, seq, x, y. Area-weighted centroid over parts; a degenerate polygon gives its vertices' mean."""
@@ -66,3 +68,79 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, cell: float) -> DataFr
 
 def grid_cell(size: float):
     return F.concat_ws("_", F.floor(F.col("x") / size), F.floor(F.col("y") / size))
+
+
+def smooth(cells: DataFrame, layers: list[str], radius: int) -> DataFrame:
+    """cells: rr, cc, layers. Cells that have all layers, with each layer's mean over the square around; missing values are left out.
+
+    Sums and counts go along rows and then along columns, so a cell is copied 2 (2 radius + 1) times, not the square of that.
+    """
+    there = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c)) for c in layers]
+    d = cells.groupBy("rr", "cc").agg(*[F.sum(v).alias(f"{c}_s") for v, c in zip(there, layers, strict=True)], *[F.count(v).alias(f"{c}_n") for v, c in zip(there, layers, strict=True)])
+    own = F.lit(True)
+    for c in layers:
+        own = own & (F.col(f"{c}_n") > 0)
+    d = d.withColumn("_own", own)
+    parts = [f"{c}_{k}" for c in layers for k in "sn"]
+    for axis, other in (("rr", "cc"), ("cc", "rr")):
+        d = d.withColumn("_d", F.explode(F.sequence(F.lit(-radius), F.lit(radius))))
+        d = d.select((F.col(axis) + F.col("_d")).alias(axis), other, *parts, (F.col("_own") & (F.col("_d") == 0)).alias("_own"))
+        d = d.groupBy("rr", "cc").agg(*[F.sum(c).alias(c) for c in parts], F.bool_or("_own").alias("_own"))
+    return d.where("_own").select("rr", "cc", *[(F.col(f"{c}_s") / F.col(f"{c}_n")).alias(c) for c in layers])
+
+
+def _extremes(cells: DataFrame, layers: list[str], low: float, high: float) -> DataFrame:
+    """cells with dark and bright: at or beyond the low and high percentile of every layer."""
+    q = cells.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_q{c}") for c in layers])
+    dark, bright = F.lit(True), F.lit(True)
+    for c in layers:
+        dark, bright = dark & (F.col(c) <= F.col(f"_q{c}")[0]), bright & (F.col(c) >= F.col(f"_q{c}")[1])
+    return cells.crossJoin(F.broadcast(q)).withColumn("dark", dark).withColumn("bright", bright).drop(*[f"_q{c}" for c in layers])
+
+
+def blobs(cells: DataFrame) -> DataFrame:
+    """cells: rr, cc, distinct. rr, cc, blob (its least cell), size of the blob of cells that touch by their sides.
+
+    Labels fall to the least label around, at cells and at the cells that name labels, and are followed one step a round.
+    """
+    spark, path = cells.sparkSession, scratch_path(cells.sparkSession, "blobs")
+
+    def cut(df: DataFrame, tag: str) -> DataFrame:
+        df.write.parquet(f"{path}/{tag}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{tag}")
+
+    lab = cut(cells.select(F.struct("rr", "cc").alias("a")).withColumn("l", F.col("a")), "0")
+    sides = F.explode(F.array(*[F.struct((F.col("a.rr") + y).cast(cells.schema["rr"].dataType).alias("rr"), (F.col("a.cc") + x).cast(cells.schema["cc"].dataType).alias("cc")) for y, x in ((0, 1), (1, 0), (0, -1), (-1, 0))]))
+    edges = cut(lab.select("a", sides.alias("b")).join(lab.select(F.col("a").alias("b")), "b"), "edges")
+    for i in range(1, 200):
+        e = edges.join(lab.withColumnRenamed("l", "la"), "a").join(lab.select(F.col("a").alias("b"), F.col("l").alias("lb")), "b")
+        told = e.select("a", "lb").unionByName(e.select(F.col("la").alias("a"), "lb")).groupBy("a").agg(F.min("lb").alias("m"))
+        new = cut(lab.join(told, "a", "left").select("a", F.least("l", "m").alias("l"), F.col("l").alias("was")), f"{i}n")
+        to = new.select(F.col("a").alias("l"), F.col("l").alias("ll"))
+        new = cut(new.join(to, "l").select("a", F.col("ll").alias("l"), "was"), str(i))
+        lab = new.select("a", "l")
+        if new.where("l <> was").isEmpty():
+            break
+    sizes = lab.groupBy("l").agg(F.count(F.lit(1)).alias("size"))
+    return lab.join(sizes, "l").select("a.rr", "a.cc", F.col("l").alias("blob"), "size")
+
+
+def landcover_masks(cells: DataFrame, layers: list[str], least: int = 40) -> DataFrame:
+    """cells: rr, cc, one layer for each date. rr, cc, dark, water, built, crop of the cells that have every date.
+
+    Dark and built: 5 x 5 means at or beyond the 2nd and 99th percentile on every date; water: dark blobs of so many cells.
+    Means are over the cells that are there (the reference counts missing ones as 0 and mirrors at the edges).
+    """
+    m = _extremes(smooth(cells, layers, 2), layers, 0.02, 0.99).select("rr", "cc", "dark", "bright")
+    path = scratch_path(cells.sparkSession, "masks")
+    m.write.parquet(path)
+    m = cells.sparkSession.read.schema(m.schema).parquet(path)
+    large = blobs(m.where("dark").select("rr", "cc")).where(F.col("size") >= least).select("rr", "cc", F.lit(True).alias("water"))
+    out = m.join(large, ["rr", "cc"], "left").withColumn("water", F.coalesce("water", F.lit(False)))
+    return out.select("rr", "cc", "dark", "water", F.col("bright").alias("built"), (~F.col("water") & ~F.col("bright")).alias("crop"))
+
+
+def landcover_candidates(cells: DataFrame, layer: str) -> DataFrame:
+    """rr, cc, mean, dark, bright of cells with data (not 0): 9 x 9 means over data, darkest 1 % and brightest 0.3 %."""
+    m = smooth(cells.where(F.col(layer) != 0), [layer], 4)
+    return _extremes(m, [layer], 0.01, 0.997).withColumnRenamed(layer, "mean")

@@ -401,6 +401,21 @@ def landcover_masks(spark, d):
     return m.crossJoin(q).agg(F.count_if(F.col("v") < F.col("lo")).alias("dark"), F.count_if(F.col("v") > F.col("hi")).alias("bright"))
 
 
+def _cells(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("rr"), F.col("l_linenumber").alias("cc"), "l_extendedprice", "l_quantity")
+
+
+@query("landcover_masks_all")
+def landcover_masks_all(spark, d):
+    """Every order, two layers as dates, blobs; landcover_masks is the slice that its SQL states."""
+    return P.landcover_masks(_cells(spark, d), ["l_extendedprice", "l_quantity"])
+
+
+@query("landcover_candidates")
+def landcover_candidates(spark, d):
+    return P.landcover_candidates(_cells(spark, d), "l_extendedprice").select("rr", "cc", r("mean").alias("mean"), "dark", "bright")
+
+
 @query("preview_coverage", "SELECT user_id, round(avg((value>0)::INT),5) share, avg((value>0)::INT)>=0.5 usable FROM events GROUP BY 1")
 def preview_coverage(spark, d):
     s = F.avg((F.col("value") > 0).cast("int"))

@@ -32,3 +32,75 @@ def test_split_half_all_takes_every_group_and_25_splits(spark, sf):
     got = {x["g"]: x["sd"] for x in QUERIES["split_half_all"](spark, sf).collect()}
     assert got.keys() == want.keys()
     assert all((got[g] is None) == (want[g] is None) and (got[g] is None or abs(got[g] - want[g]) < 0.001) for g in want)
+
+
+def grown(seed, cells):
+    """Cells joined to seed by sides."""
+    seen, todo = {seed}, [seed]
+    while todo:
+        y, x = todo.pop()
+        for n in ((y, x + 1), (y + 1, x), (y, x - 1), (y - 1, x)):
+            if n in cells and n not in seen:
+                seen.add(n)
+                todo.append(n)
+    return seen
+
+
+def means(grid, radius):
+    """Mean of the present cells around each present cell; grid: (y, x) to value."""
+    span = range(-radius, radius + 1)
+    return {(y, x): np.mean([grid[y + j, x + i] for j in span for i in span if (y + j, x + i) in grid]) for y, x in grid}
+
+
+def test_landcover_masks_need_every_date_and_large_blobs(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(400, 500, (2, 80, 100)).astype(float)
+    for g in (a, b):
+        g[5:14, 5:14] = 1  # large and dark on both dates
+        g[30:36, 60:66] = 1  # small
+        g[40:46, 10:16] = 999
+    a[20:28, 30:38] = 1  # on one date only
+    there = rng.random(a.shape) > 0.1
+    cells = [(y, x, float(a[y, x]), float(b[y, x]) if (y, x) != (8, 8) else None) for y in range(80) for x in range(100) if there[y, x]]
+    layers = [{(y, x): v[k] for y, x, *v in cells if v[k] is not None} for k in (0, 1)]
+    have = layers[0].keys() & layers[1].keys()
+    m = [means(g, 2) for g in layers]
+    lo, hi = ([np.percentile([g[c] for c in have], q) for g in m] for q in (2, 99))
+    dark = {c for c in have if all(g[c] <= t + 1e-9 for g, t in zip(m, lo, strict=True))}
+    built = {c for c in have if all(g[c] >= t - 1e-9 for g, t in zip(m, hi, strict=True))}
+    water = {c for c in dark if len(grown(c, dark)) >= 40}
+    assert water and water < dark and built
+    from terrazo.operators.spatial import landcover_masks
+
+    got = landcover_masks(spark.createDataFrame(cells, "rr long, cc int, a double, b double"), ["a", "b"]).collect()
+    assert {(r["rr"], r["cc"]) for r in got} == have
+    for name, want in (("dark", dark), ("water", water), ("built", built), ("crop", have - water - built)):
+        assert {(r["rr"], r["cc"]) for r in got if r[name]} == want, name
+
+
+def test_blobs_join_long_winding_runs(spark):
+    cells = {(y, x) for y in range(21) for x in range(21) if y % 2 == 0 or x == (20 if y % 4 == 1 else 0)} | {(40, 0), (41, 1)}
+    from terrazo.operators.spatial import blobs
+
+    got = blobs(spark.createDataFrame(sorted(cells), "rr long, cc int")).collect()
+    assert {(r["rr"], r["cc"]): r["size"] for r in got} == {c: len(grown(c, cells)) for c in cells}
+    assert len({r["blob"] for r in got}) == 3
+
+
+def test_landcover_candidates_leave_out_nodata(spark, sf):
+    held = defaultdict(list)
+    for y, x, v in rows(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice"):
+        held[y, x].append(v)
+    got = QUERIES["landcover_candidates"](spark, sf).collect()
+    assert {(r["rr"], r["cc"]) for r in got} == held.keys()
+    span = range(-4, 5)
+    for r in got[::40]:
+        near = [v for j in span for i in span for v in held.get((r["rr"] + j, r["cc"] + i), [])]
+        assert abs(r["mean"] - np.mean(near)) < 1e-4
+    m = [r["mean"] for r in got]
+    assert sum(r["dark"] for r in got) == sum(v <= np.percentile(m, 1) for v in m)
+    assert sum(r["bright"] for r in got) == sum(v >= np.percentile(m, 99.7) for v in m)
+    from terrazo.operators.spatial import landcover_candidates
+
+    few = spark.createDataFrame([(0, 0, 0.0), (0, 1, 4.0), (0, 2, 8.0)], "rr long, cc int, v double")
+    assert {(r["cc"], r["mean"]) for r in landcover_candidates(few, "v").collect()} == {(1, 6.0), (2, 6.0)}
