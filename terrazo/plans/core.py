@@ -288,6 +288,14 @@ def asof_lookup(spark, d):
     return R.asof_forward(table(spark, d, "supplier", "s_suppkey", "s_acctbal"), curve, "s_acctbal", "k", "v", 100.0).select("s_suppkey", "v")
 
 
+@query("asof_lookup_all", """WITH c AS (SELECT p_retailprice k, min(p_size) v FROM part GROUP BY 1), t AS (SELECT arg_max(v,k) v FROM c)
+ SELECT s_suppkey, coalesce(c.v, t.v) AS v FROM supplier ASOF LEFT JOIN c ON s_acctbal<=c.k, t""")
+def asof_lookup_all(spark, d):
+    """The curve of all parts; asof_lookup is the thinned curve that its SQL states."""
+    curve = table(spark, d, "part").groupBy(F.col("p_retailprice").alias("k")).agg(F.min("p_size").alias("v"))
+    return R.asof_forward(table(spark, d, "supplier", "s_suppkey", "s_acctbal"), curve, "s_acctbal", "k", "v", 10.0).select("s_suppkey", "v")
+
+
 @query("interp_join", """WITH e AS (SELECT user_id, epoch(ts) t, avg(value) v FROM events GROUP BY 1,2), b AS (SELECT *, lead(t) OVER w t2, lead(v) OVER w v2 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t))
  SELECT user_id, round(v+(v2-v)*(1704672000-t)/(t2-t),6) v FROM b WHERE t<=1704672000 AND t2>1704672000""")
 def interp_join(spark, d):

@@ -104,3 +104,11 @@ def test_landcover_candidates_leave_out_nodata(spark, sf):
 
     few = spark.createDataFrame([(0, 0, 0.0), (0, 1, 4.0), (0, 2, 8.0)], "rr long, cc int, v double")
     assert {(r["cc"], r["mean"]) for r in landcover_candidates(few, "v").collect()} == {(1, 6.0), (2, 6.0)}
+
+
+def test_asof_lookup_all_uses_every_part(spark, sf):
+    curve = {}
+    for k, v in rows(spark, sf, "part", "p_retailprice", "p_size"):
+        curve[k] = min(v, curve.get(k, v))
+    want = {s: curve[min((k for k in curve if k >= m), default=max(curve))] for s, m in rows(spark, sf, "supplier", "s_suppkey", "s_acctbal")}
+    assert {r["s_suppkey"]: r["v"] for r in QUERIES["asof_lookup_all"](spark, sf).collect()} == want
