@@ -127,3 +127,23 @@ def md5_order(seed: str, key: Column) -> Column:
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: str) -> DataFrame:
     w = Window.partitionBy(stratum).orderBy(md5_order(seed, F.col(key)), key)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def perm_pvalue(df: DataFrame, reps: int, width: int = 4096) -> DataFrame:
+    """df: id (whole numbers), x, y. p: (1 + permutations of y whose correlation with x is as large in size) / (reps + 1).
+
+    Rows are numbered by id; permutation rep gives row i the y of the i-th id in the order of md5(rep|id). Numbers are
+    counted within ranges of ids and within prefixes of the hash, and begin at the sum of the lower ones' counts.
+    """
+    def numbered(rows: DataFrame, keys: list[str], part: str, order: list[str]) -> DataFrame:
+        before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        starts = rows.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+        i = F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order))
+        return rows.withColumn("_r", i).join(starts.hint("merge"), [*keys, part]).withColumn("i", F.col("_r") + F.col("_s")).drop("_r", "_s", part)
+
+    t = numbered(df.select("id", "x", F.lit(0).alias("_all"), F.floor(F.col("id") / width).alias("_part")), ["_all"], "_part", ["id"]).select("i", "x")
+    s = df.select("id", "y", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("h", F.md5(F.concat_ws("|", "rep", "id")))
+    s = numbered(s.withColumn("_part", F.substring("h", 1, 2)), ["rep"], "_part", ["h", "id"]).select("rep", "i", "y")
+    null = s.join(t.hint("merge"), "i").groupBy("rep").agg(F.abs(F.corr("x", "y")).alias("c"))
+    seen = df.agg(F.abs(F.corr("x", "y")).alias("o"))
+    return null.crossJoin(F.broadcast(seen)).agg(((1 + F.count_if(F.col("c") >= F.col("o"))) / F.lit(reps + 1.0)).alias("p"), F.count(F.lit(1)).alias("reps"))

@@ -126,6 +126,13 @@ def perm_pvalue(spark, d):
     return n.crossJoin(o).agg(r((1 + F.count_if(F.col("c") >= F.col("o"))) / 20.0).alias("p"), F.count(F.lit(1)).alias("reps"))
 
 
+@query("perm_pvalue_all")
+def perm_pvalue_all(spark, d):
+    """Every customer and 199 permutations; perm_pvalue is the slice that its SQL states."""
+    t = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").alias("y"))
+    return A.perm_pvalue(t, 199).select(r("p").alias("p"), "reps")
+
+
 _KAPPA = ", n AS (SELECT count(*)::DOUBLE n, avg((a=b)::INT) po FROM s), e AS (SELECT sum(x.c::DOUBLE*y.c) s FROM (SELECT a k, count(*) c FROM s GROUP BY 1) x JOIN (SELECT b k, count(*) c FROM s GROUP BY 1) y USING(k)) SELECT round(po,5) po, round(s/(n*n),5) pe, round((po-s/(n*n))/nullif(1-s/(n*n),0),5) kappa FROM n, e"
 
 

@@ -112,3 +112,20 @@ def test_asof_lookup_all_uses_every_part(spark, sf):
         curve[k] = min(v, curve.get(k, v))
     want = {s: curve[min((k for k in curve if k >= m), default=max(curve))] for s, m in rows(spark, sf, "supplier", "s_suppkey", "s_acctbal")}
     assert {r["s_suppkey"]: r["v"] for r in QUERIES["asof_lookup_all"](spark, sf).collect()} == want
+
+
+def test_perm_pvalue_all_takes_every_customer_and_199_permutations(spark, sf):
+    t = sorted(rows(spark, sf, "customer", "c_custkey", "c_acctbal", "c_nationkey"))
+    from terrazo.operators.analytics import perm_pvalue
+
+    def p(held, reps):
+        x, y = np.array([r[1] for r in held], float), np.array([r[2] for r in held], float)
+        order = lambda rep: sorted(range(len(held)), key=lambda i: (md5(rep, held[i][0]), held[i][0]))
+        null = [abs(np.corrcoef(x, y[order(rep)])[0, 1]) for rep in range(1, reps + 1)]
+        return (1 + sum(c >= abs(np.corrcoef(x, y)[0, 1]) for c in null)) / (reps + 1)
+
+    got = QUERIES["perm_pvalue_all"](spark, sf).first()
+    assert got["reps"] == 199 and abs(got["p"] - p(t, 199)) < 1e-6
+    tied = [(k * 3, float(k), k + k % 5) for k in range(200)]  # ids over several ranges, a strong link: the least p
+    few = perm_pvalue(spark.createDataFrame(tied, "id long, x double, y long"), 199, 50).first()
+    assert few["p"] == p(tied, 199) == 1 / 200
