@@ -340,8 +340,8 @@ def synth_truth(spark, d):
 
 @query("mrf_icm")
 def mrf_icm(spark, d):
-    p = _features(spark, d).select(F.lit(1).alias("village"), "vec_id", F.col("f1").alias("x"), F.col("f2").alias("y"), S.softmax(F.array("f1", "f2", "f3")).alias("p"))
-    return C.mrf_labels(p, "village", "vec_id").select("vec_id", "label")
+    p = _features(spark, d).select(F.lit(1).alias("village"), "vec_id", F.col("f1").alias("x"), F.col("f2").alias("y"), F.array("f1", "f2", "f3").alias("f"), S.softmax(F.array("f1", "f2", "f3")).alias("p"), (1.0 + F.col("vec_id") % 5).alias("area"))
+    return C.mrf_labels(p, "village", "vec_id", [0.5, 0.3, 0.2]).select("vec_id", "label")
 
 
 @query("blocked_cv")

@@ -129,3 +129,70 @@ def test_perm_pvalue_all_takes_every_customer_and_199_permutations(spark, sf):
     tied = [(k * 3, float(k), k + k % 5) for k in range(200)]  # ids over several ranges, a strong link: the least p
     few = perm_pvalue(spark.createDataFrame(tied, "id long, x double, y long"), 199, 50).first()
     assert few["p"] == p(tied, 199) == 1 / 200
+
+
+def plain_turns(x, start, near, area, prior, beta=0.6, seed=0):
+    """The reference's turns, written out: gradient descent, label by label, cost by cost."""
+    from terrazo.operators.composite import solve_prior
+
+    w = np.array([[np.exp(-sum((x[i] - x[j]) ** 2) / (2 * x.shape[1])) for j in near[i]] for i in range(len(x))])
+    labels, rng = start.argmax(1), np.random.default_rng(seed)
+    for _ in range(8):
+        seen = sorted(set(labels.tolist()))
+        if len(seen) < 2:
+            break
+        hot = np.array([[float(c == s) for s in seen] for c in labels])
+        cw = hot @ (len(x) / (len(seen) * hot.sum(0)))
+        z, coef = np.column_stack([x, np.ones(len(x))]), np.zeros((x.shape[1] + 1, len(seen)))
+        keep = np.append(np.ones(x.shape[1]), 0.0)[:, None]
+        for _ in range(20000):
+            e = np.exp(z @ coef)
+            e /= e.sum(1, keepdims=True)
+            coef -= 2.0 / (cw.sum() * (z**2).sum(1).max()) * (z.T @ (cw[:, None] * (e - hot)) + keep * coef)
+        p = np.zeros(start.shape)
+        p[:, seen] = e
+        log_p = np.log(np.maximum(p, 1e-9))
+        q = np.exp(log_p + solve_prior(log_p, prior, area))
+        u = np.log(np.maximum(q / q.sum(1, keepdims=True), 1e-12))
+        new, last = labels.copy(), None
+        for _ in range(30):
+            for i in rng.permutation(len(x)):
+                new[i] = np.argmin([-u[i, c] + beta * sum(w[i][new[near[i]] != c]) for c in range(start.shape[1])])
+            now = sum(-u[i, new[i]] + beta * sum(w[i][new[near[i]] != new[i]]) for i in range(len(x)))
+            if last is not None and abs(last - now) < 1e-6:
+                break
+            last = now
+        changed = np.mean(new != labels)
+        labels = new
+        if changed < 0.005:
+            break
+    return labels
+
+
+def test_mrf_labels_alternate_regression_prior_and_sweeps(spark):
+    from terrazo.operators.composite import mrf_labels
+
+    rng = np.random.default_rng(5)
+    n = 120
+    f, xy, area = rng.normal(size=(n, 3)), rng.normal(size=(n, 2)), rng.uniform(0.5, 2, n)
+    p = np.exp(f) / np.exp(f).sum(1, keepdims=True)
+    mid = np.median(f, 0)
+    x = (f - mid) / (1.4826 * np.median(np.abs(f - mid), 0))
+    near = np.array([sorted((j for j in range(n) if j != i), key=lambda j: (((xy[i] - xy[j]) ** 2).sum(), j))[:8] for i in range(n)])
+    df = spark.createDataFrame([(1, i, *map(float, xy[i]), f[i].tolist(), p[i].tolist(), float(area[i])) for i in range(n)], "g int, id int, x double, y double, f array<double>, p array<double>, area double")
+    for prior in ([0.5, 0.3, 0.2], [0.1, 0.2, 0.7]):
+        got = np.array([r["label"] for r in mrf_labels(df, "g", "id", prior).orderBy("id").collect()])
+        assert (got == plain_turns(x, p, near, area, np.array(prior))).mean() >= 0.98
+        assert np.abs(np.bincount(got, area, 3) / area.sum() - prior).max() < 0.25
+
+
+def test_energy_never_rises_in_sweeps():
+    from terrazo.operators.composite import energy, settle
+
+    rng = np.random.default_rng(2)
+    u = np.log(rng.dirichlet([1, 1, 1], 80))
+    # Both directions of each link, so that a label's own cost is the energy's change.
+    near = np.column_stack([(np.arange(80) + 1) % 80, (np.arange(80) - 1) % 80])
+    w, labels = np.ones((80, 2)), u.argmax(1)
+    after = settle(u, near, w, 0.6, labels, np.random.default_rng(0))
+    assert energy(u, near, w, 0.6, after) <= energy(u, near, w, 0.6, labels)
