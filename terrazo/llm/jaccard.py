@@ -369,6 +369,10 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = scratch.cut(rows.mapInArrow(lambda b: _sketches(b, n), "doc_id long, n long, digest binary, bands array<long>"), "sets")
+    repeats = sets.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("x"), F.max("digest").alias("y")).where("c > 1")
+    has_repeats, has_variants = repeats.agg(F.count(F.lit(1)) > 0, F.coalesce(F.max(F.col("x") != F.col("y")), F.lit(False))).first()
+    if has_variants:
+        return _of_variants(rows, scratch, n, percent)
     nodes = sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n").alias("n"))
     # Group by the first pair of minima; a large group is dealt into pieces by hash.
     nodes = scratch.cut(nodes.groupBy("node").agg(F.first("bands").alias("bands"), F.min("n").alias("least"), F.max("n").alias("most")), "nodes")
@@ -387,7 +391,6 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     near = seen.join(lead, F.col("band") == F.col("_band")).where(fits).select(F.col("p.piece").alias("a"), F.col("lead.piece").alias("b")).distinct()
     within = placed.where("members > 1").select(F.col("piece").alias("a"), F.lit(None).cast("long").alias("b")).distinct()
     near = scratch.cut(near.unionByName(within), "near")
-    has_repeats = bool(sets.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count())
 
     def verify(pairs: DataFrame, tag: str) -> DataFrame:
         needed = pairs.select(F.explode(F.array("a", "b")).alias("piece")).where("piece is not null").distinct()
@@ -466,6 +469,25 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     return sets.join(reps, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _of_variants(rows: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
+    """classes, where a doc_id has different texts: each row is a node, and the classes of a doc_id's rows are merged at the end."""
+    row = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    rows = scratch.cut(rows.withColumn("row", row), "rows")
+    found = classes(rows.select(F.col("row").alias("doc_id"), "text"), n, percent)
+    found = scratch.cut(found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("class")), "found")
+    # Rows without an id have no node; they stand in the class of an equal set, if there is one.
+    own = found.join(rows.select("row", "doc_id"), "row")
+    linked = own.where("n_shingles > 0")
+    lead = linked.groupBy("doc_id").agg(F.min("class").alias("b"))
+    links = linked.join(lead, "doc_id").select(F.col("class").alias("a"), "b").where("a <> b").distinct()
+    whole = components(links, scratch, "variants")
+    named = lambda df: df.join(whole, F.col("class") == F.col("node"), "left").withColumn("class", F.coalesce("component", "class")).drop("node", "component")
+    least = named(linked).groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    shown = own.unionByName(found.where("row is null").withColumn("doc_id", F.lit(None).cast("long")))
+    out = named(shown).join(least, "class", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(documents(spark, sf_dir))
 
