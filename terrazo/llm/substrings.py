@@ -15,8 +15,9 @@ Places that agree within one batch are decided there, so a passage in a third of
 each batch and not one for each document; no group is collected.
 
 Defined cases: a null or wordless text has 0 words and the hash of the empty string; a document shorter than a
-window loses nothing; doc_id names a document: rows that share it and their text are one document and have equal results,
-rows that share it with other texts share places of repeats; a null doc_id sorts first; an empty table gives an empty one.
+window loses nothing; a document is a doc_id with a text: rows that agree in both are one document and have equal results,
+texts that share a doc_id are documents of their own, in order of the texts' hashes (column sub, 0 where an id has one text);
+a null doc_id sorts first and is otherwise an id like others; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, small
 from .kernels import BYTE_VALUES, NOT_SPACE, Words, chunks, grams, mix, powers, valid, words
 
 WINDOW = 20
@@ -37,7 +38,7 @@ K = 7
 #: Kinds of rows: a place that others must be compared with, a sure repeat, a place to be extended window by window.
 PROBE, REPEAT, EDGE = 0, 1, 2
 NULL_ID = -(1 << 63)
-PLACES = "kind int, anchor long, span long, doc long, start int, n int"
+PLACES = "kind int, anchor long, span long, doc long, sub long, start int, n int"
 
 
 def runs(w: Words) -> tuple[np.ndarray, ...]:
@@ -64,40 +65,53 @@ def runs(w: Words) -> tuple[np.ndarray, ...]:
     return doc, first - w.first[doc], n, g[anchor[at]], span
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """The order by the first key, then the second and so on; equal keys stay as they are."""
+    return np.lexsort(keys[::-1])
+
+
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Which entries differ from the one before in any key; the first does."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new) > 1:
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def _batch(names: str, *cols: np.ndarray) -> pa.RecordBatch:
+    """A batch of the columns, with names and types as in a schema."""
+    fields = [x.split() for x in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype({"int": np.int32, "long": np.int64}[t])) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, sub, text -> places of the batch, each once."""
     for batch in batches:
-        ids, parts = _ids(batch.column(0)), []
-        for lo, hi, offs, data in chunks(batch.column(1)):
+        ids, subs, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
+        for lo, hi, offs, data in chunks(batch.column(2)):
             doc, start, n, anchor, span = runs(words(offs, data, NOT_SPACE, BYTE_VALUES))
-            parts.append((ids[lo:hi][doc] if len(doc) else np.zeros(0, np.int64), start, n, anchor.astype(np.uint64), span.astype(np.uint64)))
+            parts.append((ids[lo:hi][doc], subs[lo:hi][doc], start, n, anchor.astype(np.uint64), span.astype(np.uint64)))
         if not parts:
             continue
-        doc, start, n, anchor, span = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((start, doc, span, anchor))
-        doc, start, n, anchor, span = doc[order], start[order], n[order], anchor[order], span[order]
-        new_anchor, new_span = np.ones(len(doc), bool), np.ones(len(doc), bool)
-        new_anchor[1:] = anchor[1:] != anchor[:-1]
-        new_span[1:] = new_anchor[1:] | (span[1:] != span[:-1])
+        doc, sub, start, n, anchor, span = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = _order(anchor, span, doc, sub, start)
+        doc, sub, start, n, anchor, span = (x[order] for x in (doc, sub, start, n, anchor, span))
+        new_anchor, new_span = _changes(anchor), _changes(anchor, span)
         kind = np.where(new_span, PROBE, REPEAT)
         # Rows of one document at one start are the same place: not a repeat of each other.
-        same = np.zeros(len(doc), bool)
-        same[1:] = ~new_span[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
-        keep = ~same
+        keep = _changes(anchor, span, doc, sub, start)
         # Where the batch has several spans of an anchor, all are edges; two of them stand for the anchor elsewhere.
         group = np.cumsum(new_anchor) - 1
         spans = np.bincount(group, weights=new_span, minlength=group[-1] + 1 if len(group) else 0)
         many = spans[group] > 1
-        edge = new_span & many
+        extra = new_span & many
         rank = np.cumsum(new_span) - np.cumsum(new_span)[np.flatnonzero(new_anchor)][group] if len(group) else group
-        rows = keep & (~new_span | ~edge | (rank < 2))
-        extra = edge
-        cols = [np.concatenate((x[rows], x[extra])) for x in (anchor.view(np.int64), span.view(np.int64), doc, start, n)]
+        rows = keep & (~new_span | ~extra | (rank < 2))
         kinds = np.concatenate((kind[rows], np.full(extra.sum(), EDGE)))
-        yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), *[pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int64, np.int64, np.int32, np.int32), strict=True)]], names=["kind", "anchor", "span", "doc", "start", "n"])
+        yield _batch(PLACES, kinds, *(np.concatenate((x[rows], x[extra])) for x in (anchor.view(np.int64), span.view(np.int64), doc, sub, start, n)))
+
+
+FOUND = "kind int, doc long, sub long, start int, n int"
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,10 +120,8 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, s, d, b, n = (batch.column(i).to_numpy() for i in range(1, 6))
-        new_a, new_s = np.ones(len(a), bool), np.ones(len(a), bool)
-        new_a[1:] = a[1:] != a[:-1]
-        new_s[1:] = new_a[1:] | (s[1:] != s[:-1])
+        a, s, *place = (batch.column(i).to_numpy() for i in range(1, 7))
+        new_a, new_s = _changes(a), _changes(a, s)
         follows = held is not None and held[0] == a[0]
         new_a[0] = not follows
         new_s[0] = not (follows and held[1] == s[0])
@@ -120,32 +132,33 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if follows:
             in_group[0] += 2 if held[3] else 1
         edge = firsts[in_group[group[firsts]] > 1]
-        rows = [(np.full(len(edge), EDGE), d[edge], b[edge], n[edge])]
+        rows = [(np.full(len(edge), EDGE), *(x[edge] for x in place))]
         repeat = np.flatnonzero(~new_s)
         previous = np.maximum.accumulate(np.where(new_s, np.arange(len(a)), -1))[repeat]
-        first_d = np.where(previous < 0, held[2][0] if held else 0, d[previous])
-        first_b = np.where(previous < 0, held[2][1] if held else 0, b[previous])
-        repeat = repeat[(first_d != d[repeat]) | (first_b != b[repeat])]
-        rows.append((np.full(len(repeat), REPEAT), d[repeat], b[repeat], n[repeat]))
+        other = np.zeros(len(repeat), bool)
+        for i, x in enumerate(place[:3]):
+            other |= np.where(previous < 0, held[2][i] if held else 0, x[previous]) != x[repeat]
+        repeat = repeat[other]
+        rows.append((np.full(len(repeat), REPEAT), *(x[repeat] for x in place)))
         if follows and not held[3] and len(firsts) and group[firsts[0]] == 0:
             rows.append((np.array([EDGE]), *(np.array([x]) for x in held[2])))
             held[3] = True
         if len(firsts):
             f = firsts[-1]
-            if group[-1] == 0:  # still the held anchor
-                held = [a[-1], s[-1], (d[f], b[f], n[f]), True]
-            else:
-                held = [a[-1], s[-1], (d[f], b[f], n[f]), bool(in_group[group[f]] > 1)]
-        kind, d, b, n = (np.concatenate(x) for x in zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(d.astype(np.int64)), pa.array(b.astype(np.int32)), pa.array(n.astype(np.int32))], names=["kind", "doc", "start", "n"])
+            # Either still the held anchor, or one that begins here.
+            held = [a[-1], s[-1], tuple(x[f] for x in place), True if group[-1] == 0 else bool(in_group[group[f]] > 1)]
+        yield _batch(FOUND, *(np.concatenate(x) for x in zip(*rows, strict=True)))
+
+
+WINDOWS = "kind int, window long, doc long, sub long, start int"
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text, edges (array of start, n): hashes of the edges' windows, and repeats that the batch itself shows."""
+    """doc, sub, text, edges (array of start, n): hashes of the edges' windows, and repeats that the batch itself shows."""
     for batch in batches:
-        ids, parts = _ids(batch.column(0)), []
-        edges = batch.column(2)
-        for lo, hi, offs, data in chunks(batch.column(1)):
+        ids, subs, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
+        edges = batch.column(3)
+        for lo, hi, offs, data in chunks(batch.column(2)):
             w = words(offs, data, NOT_SPACE, BYTE_VALUES)
             g = grams(w.hashes(), WINDOW)
             e = edges.slice(lo, hi - lo)
@@ -154,20 +167,17 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, n = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
             owner = np.repeat(np.repeat(np.arange(hi - lo), sizes), n)
             at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            there = at + WINDOW <= w.count[owner]  # else another text under this id has the place
-            owner, at = owner[there], at[there]
-            parts.append((g[w.first[owner] + at], ids[lo:hi][owner], at))
+            parts.append((g[w.first[owner] + at], ids[lo:hi][owner], subs[lo:hi][owner], at))
         if not parts:
             continue
-        h, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((at, doc, h))
-        h, doc, at = h[order], doc[order], at[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        same = np.zeros(len(h), bool)
-        same[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
-        h, doc, at, new = h[~same], doc[~same], at[~same], new[~same]
-        yield pa.RecordBatch.from_arrays([pa.array(np.where(new, PROBE, REPEAT).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(at.astype(np.int32))], names=["kind", "window", "doc", "start"])
+        h, doc, sub, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = _order(h, doc, sub, at)
+        h, doc, sub, at = h[order], doc[order], sub[order], at[order]
+        new, once = _changes(h), _changes(h, doc, sub, at)
+        yield _batch(WINDOWS, np.where(new, PROBE, REPEAT)[once], h.view(np.int64)[once], doc[once], sub[once], at[once])
+
+
+RUNS = "doc long, sub long, start int, n int"
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,30 +186,30 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, d, b = (batch.column(i).to_numpy() for i in (1, 2, 3))
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
+        h, *place = (batch.column(i).to_numpy() for i in range(1, 5))
+        new = _changes(h)
         if last is not None and h[0] == last[0]:
             new[0] = False
         first = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-        first_d, first_b = np.where(first < 0, last[1] if last else 0, d[first]), np.where(first < 0, last[2] if last else 0, b[first])
-        last = (h[-1], first_d[-1], first_b[-1])
-        later = np.flatnonzero(~new & ((first_d != d) | (first_b != b)))
-        yield pa.RecordBatch.from_arrays([pa.array(d[later]), pa.array(b[later].astype(np.int32)), pa.array(np.ones(len(later), np.int32))], names=["doc", "start", "n"])
+        firsts = [np.where(first < 0, last[1 + i] if last else 0, x[first]) for i, x in enumerate(place)]
+        last = (h[-1], *(x[-1] for x in firsts))
+        later = np.flatnonzero(~new & np.logical_or.reduce([x != y for x, y in zip(firsts, place, strict=True)]))
+        yield _batch(RUNS, *(x[later] for x in place), np.ones(len(later)))
 
 
 def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc (id), start, n: runs of windows that also start earlier. docs: doc (long), text."""
-    places = scratch.cut(docs.select("doc", "text").mapInArrow(_places, PLACES), "places")
-    probes = places.where(F.col("kind") == PROBE).repartition("anchor").sortWithinPartitions("anchor", "span", "doc", "start")
-    found = scratch.cut(probes.mapInArrow(_joined, "kind int, doc long, start int, n int"), "found")
-    edges = found.where(F.col("kind") == EDGE).unionByName(places.where(F.col("kind") == EDGE).select("kind", "doc", "start", "n"))
-    by_doc = edges.groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("edges"))
-    texts = docs.select("doc", "text").join(by_doc, "doc").select("doc", "text", "edges")
-    windows = scratch.cut(texts.mapInArrow(_windows, "kind int, window long, doc long, start int"), "windows")
-    later = windows.where(F.col("kind") == PROBE).repartition("window").sortWithinPartitions("window", "doc", "start").mapInArrow(_later, "doc long, start int, n int")
-    out = found.where(F.col("kind") == REPEAT).select("doc", "start", "n")
-    for more in (places.where(F.col("kind") == REPEAT).select("doc", "start", "n"), windows.where(F.col("kind") == REPEAT).select("doc", "start", F.lit(1).alias("n")), later):
+    """doc, sub, start, n: runs of windows that also start earlier. docs: doc (long), sub (long), text."""
+    key, run = ["doc", "sub"], ["doc", "sub", "start", "n"]
+    places = scratch.cut(docs.select(*key, "text").mapInArrow(_places, PLACES), "places")
+    probes = places.where(F.col("kind") == PROBE).repartition("anchor").sortWithinPartitions("anchor", "span", *key, "start")
+    found = scratch.cut(probes.mapInArrow(_joined, FOUND), "found")
+    edges = found.where(F.col("kind") == EDGE).select(*run).unionByName(places.where(F.col("kind") == EDGE).select(*run))
+    by_doc = edges.groupBy(*key).agg(F.collect_set(F.struct("start", "n")).alias("edges"))
+    texts = docs.select(*key, "text").join(by_doc, key).select(*key, "text", "edges")
+    windows = scratch.cut(texts.mapInArrow(_windows, WINDOWS), "windows")
+    later = windows.where(F.col("kind") == PROBE).repartition("window").sortWithinPartitions("window", *key, "start").mapInArrow(_later, RUNS)
+    out = found.where(F.col("kind") == REPEAT).select(*run)
+    for more in (places.where(F.col("kind") == REPEAT).select(*run), windows.where(F.col("kind") == REPEAT).select(*key, "start", F.lit(1).alias("n")), later):
         out = out.unionByName(more)
     return out
 
@@ -237,12 +247,24 @@ def _cleaned(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays(cols + ([pa.array(texts, pa.string())] if with_text else []), names=["doc", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
 
 
+def named(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc, sub, text of docs' rows: sub is 0 where all rows of an id have one text, else the text's hash."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), "text")
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = rows.groupBy("doc").agg(F.min(h).alias("x"), F.max(h).alias("y")).where("x <> y").select(F.col("doc").alias("_doc"))
+    several = scratch.cut(several, "several")
+    n = several.count()
+    if not n:
+        return rows.select("doc", F.lit(0).cast("long").alias("sub"), "text")
+    return rows.join(small(several, n), F.col("doc") == F.col("_doc"), "left").select("doc", F.when(F.col("_doc").isNull(), F.lit(0)).otherwise(h).cast("long").alias("sub"), "text")
+
+
 def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (with_text) kept, the text that is left, of each row of docs."""
     scratch = Scratch(docs.sparkSession, "substrings")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), "text")
-    of = repeats(rows, scratch).groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
-    joined = rows.join(of, "doc", "left").select("doc", "text", "runs")
+    rows = named(docs, scratch)
+    of = repeats(rows, scratch).groupBy("doc", "sub").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+    joined = rows.join(of, ["doc", "sub"], "left").select("doc", "text", "runs")
     schema = "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     out = joined.mapInArrow(lambda b: _cleaned(b, with_text), schema)
     return out.withColumn("doc", F.when(F.col("doc") != NULL_ID, F.col("doc"))).withColumnRenamed("doc", "doc_id")

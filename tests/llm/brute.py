@@ -35,18 +35,24 @@ def classes(rows, n=4, percent=85):
 
 
 def repeats(rows, window=20):
-    first, docs = {}, sorted((i, SPACE.findall(t or "")) for i, t in rows)
-    for i, w in docs:
+    """rows: (doc_id, text). The same, for rows whose ids may be null or shared: documents are (id, text), in order of id (null first) and order(text)."""
+    return {k[0]: v for k, v in repeats_of_texts(rows, window, lambda t: 0).items()}
+
+
+def repeats_of_texts(rows, window, order):
+    """(doc_id, text) -> words, words removed, hash of what is left."""
+    first, docs = {}, sorted((((i is not None, i or 0, order(t)), (i, t), SPACE.findall(t or "")) for i, t in set(rows)), key=lambda d: d[0])
+    for at, _, w in docs:
         for s in range(len(w) - window + 1):
-            first.setdefault(tuple(w[s : s + window]), (i, s))
+            first.setdefault(tuple(w[s : s + window]), (at, s))
     out = {}
-    for i, w in docs:
+    for at, key, w in docs:
         gone = [False] * len(w)
         for s in range(len(w) - window + 1):
-            if first[tuple(w[s : s + window])] != (i, s):
+            if first[tuple(w[s : s + window])] != (at, s):
                 gone[s : s + window] = [True] * window
         kept = " ".join(x for x, g in zip(w, gone) if not g)
-        out[i] = (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
+        out[key] = (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
 
 
