@@ -5,15 +5,16 @@ edit budget is e = floor(rate * m). By the q-gram lemma a copy within e edits sh
 m - q + 1 - e * q of the item's q-grams, and these lie on e + 1 neighbouring diagonals (text position
 minus item position). Bands of 2 * (e + 1) diagonals, each overlapping the next by half, therefore have
 one band that holds them all. Regions whose band reaches the bound are aligned (banded, ends in the text
-free) and kept if the distance is within the budget. q is 8, so a q-gram is one 64-bit number: counts are
-of the q-grams themselves, not of hashes.
+free) and kept if the distance is within the budget. q is 8, or for short items the largest length that leaves a
+bound of at least 1: floor(m / (e + 1)); so nothing within the budget is missed, whatever an item's length. A q-gram is
+one 64-bit number: counts are of the q-grams themselves, not of hashes.
 
 Items are a stated query set, held in blocks of at most BLOCK_BYTES; each block passes over all texts,
 which stay where they are: there is no shuffle and no pair of documents.
 
-Defined cases: a null, empty or short text (fewer than q bytes) has no match; a null or empty item, or one so
-short that its bound is under 1, is searched as a whole without edits; repeated items each match;
-an empty table of either kind gives no match.
+Defined cases: a null text, or one without letters and digits, has no match; neither has such an item; an item of a few
+letters matches wherever they stand, within words too; repeated items each match; repeated rows each match; an
+empty table of either kind gives no match.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import documents, fresh
 from .kernels import utf8
 
+#: Length of q-grams; short items have shorter ones.
 Q = 8
 RATE = 0.1
 #: Bytes of items whose q-grams are sent to the executors at once.
@@ -55,62 +57,73 @@ def fold(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[at], at
 
 
-def qgrams(data: np.ndarray) -> np.ndarray:
-    n = len(data) - Q + 1
+def qgrams(data: np.ndarray, q: int = Q) -> np.ndarray:
+    """The runs of q bytes, each as a number."""
+    n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    return np.ndarray((n,), "<u8", np.ascontiguousarray(data).tobytes(), 0, (1,))
+    g = np.ndarray((n,), "<u8", np.ascontiguousarray(data).tobytes() + bytes(8), 0, (1,))
+    return g if q == 8 else g & np.uint64((1 << 8 * q) - 1)
 
 
 def _slot(g: np.ndarray) -> np.ndarray:
     return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
 
 
+class Grams:
+    """The q-grams of those items that have q-grams of one length."""
+
+    def __init__(self, q: int, items: list[int], text: list[np.ndarray]):
+        self.q = q
+        grams = [qgrams(text[i], q) for i in items]
+        g = np.concatenate(grams)
+        order = np.argsort(g, kind="stable")
+        self.item = np.repeat(items, [len(x) for x in grams])[order]
+        self.place = np.concatenate([np.arange(len(x)) for x in grams])[order]
+        self.grams, self.start, self.count = np.unique(g[order], return_index=True, return_counts=True)
+        self.filter = np.zeros(1 << _FILTER_BITS, bool)
+        self.filter[_slot(self.grams)] = True
+
+    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Item and diagonal of each q-gram that data shares."""
+        g = qgrams(data, self.q)
+        at = np.flatnonzero(self.filter[_slot(g)])
+        key = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
+        real = self.grams[key] == g[at]
+        at, key = at[real], key[real]
+        n = self.count[key]
+        pos = np.repeat(at, n)
+        ref = np.repeat(self.start[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.item[ref], pos - self.place[ref]
+
+
 class Index:
-    """The q-grams of some items."""
+    """Some items with their budgets, bounds and q-grams."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         self.ids, self.text, self.budget, self.bound = [], [], [], []
-        grams, item, place = [], [], []
+        of_q: dict[int, list[int]] = {}
         for item_id, text in items:
             folded, _ = fold(np.frombuffer((text or "").encode(), np.uint8))
             if not len(folded):
                 continue
             m, e = len(folded), int(rate * len(folded))
-            while e and m - Q + 1 - e * Q < 1:
-                e -= 1
-            i = len(self.ids)
+            q = min(Q, m // (e + 1))
+            of_q.setdefault(q, []).append(len(self.ids))
             self.ids.append(item_id)
             self.text.append(folded)
             self.budget.append(e)
-            self.bound.append(max(1, m - Q + 1 - e * Q))
-            g = qgrams(folded)
-            grams.append(g)
-            item.append(np.full(len(g), i))
-            place.append(np.arange(len(g)))
-        g = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(g, kind="stable")
-        self.item = np.concatenate(item)[order] if grams else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if grams else np.zeros(0, np.int64)
-        self.grams, self.start, self.count = np.unique(g[order], return_index=True, return_counts=True)
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[_slot(self.grams)] = True
+            self.bound.append(m - q + 1 - e * q)
+        self.lengths = [Grams(q, of, self.text) for q, of in sorted(of_q.items())]
         self.step = np.array(self.budget, np.int64) + 1
         self.need = np.array(self.bound, np.int64)
 
     def regions(self, data: np.ndarray) -> list[tuple[int, int, int]]:
         """(item number, first and last diagonal) of the bands of folded data that reach their bound, the fullest first."""
-        g = qgrams(data)
-        if not len(g) or not len(self.grams):
+        found = [x.hits(data) for x in self.lengths]
+        item, diagonal = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
+        if not len(item):
             return []
-        at = np.flatnonzero(self.filter[_slot(g)])
-        key = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
-        real = self.grams[key] == g[at]
-        at, key = at[real], key[real]
-        n = self.count[key]
-        pos = np.repeat(at, n)
-        ref = np.repeat(self.start[key] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        item, diagonal = self.item[ref], pos - self.place[ref]
         # Band b of an item with step s covers the diagonals from b*s to (b+2)*s - 1.
         half = diagonal // self.step[item]
         width = int(len(data)) + 4096

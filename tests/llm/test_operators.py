@@ -273,9 +273,7 @@ def test_decontamination_against_alignment(spark):
         for k, x in items:
             p = fold(x)
             e = int(decontaminate.RATE * len(p))
-            while e and len(p) - decontaminate.Q + 1 - e * decontaminate.Q < 1:
-                e -= 1
-            if len(p) >= decontaminate.Q and (i % 12 == k or i >= 100 or k > 50):
+            if p and (i % 12 == k or i >= 100 or k > 50):
                 if (x := brute.distance_in(p, fold(t))) <= e:
                     want[i, k] = x
     assert want and got == want
@@ -284,6 +282,28 @@ def test_decontamination_against_alignment(spark):
     assert decontaminate.search(d, b.limit(0)).collect() == [] and decontaminate.search(d.limit(0), b).collect() == []
 
 
+def test_decontamination_finds_short_items(spark):
+    rng = random.Random(12)
+    items = [(0, "abc de"), (1, "q"), (2, " .. "), (3, None), (4, "zebra crossing")]
+    items += [(10 + n, "".join(rng.choice("abcdefgh  ") for _ in range(n)).strip() or "a") for n in range(1, 51)]
+    docs = [(0, "xx abc de yy"), (1, ""), (2, None), (3, "..")]
+    for i in range(120):
+        item = items[rng.randrange(5, len(items))][1]
+        filler = lambda: "".join(rng.choice("stuvwxyz0123 ") for _ in range(rng.randrange(12)))
+        docs.append((10 + i, f"{filler()} {edited(rng, item, rng.randrange(0, 2 + len(item) // 9))} {filler()}"))
+    fold = lambda t: decontaminate.fold(np.frombuffer((t or "").encode(), np.uint8))[0].tobytes()
+    want = {}
+    for i, t in docs:
+        for k, x in items:
+            if p := fold(x):
+                e = brute.distance_in(p, fold(t))
+                if e <= int(decontaminate.RATE * len(p)):
+                    want[i, k] = e
+    b, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.search(d, b).collect()}
+    assert (0, 0) in got and got == want
+
+
 def test_decontamination_spans_and_long_text(monkeypatch):
     rng = random.Random(2)
     item = prose(rng, 30)
