@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents, fresh, small
@@ -493,12 +493,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, the one whose doc_id the class is named by, by words of five and 0.8; of rows that share its doc_id, one.
+    """One document of each class stays, the one of the smallest doc_id, by words of five and 0.8.
 
-    Rows whose doc_id is null stay.
+    A row is a document by its doc_id and text, named by a 64-bit hash of both: texts that share an id, or have none, are
+    documents of their own. A null doc_id is larger than any; of equal ids the smaller hash stays. Rows that agree in
+    doc_id and text are one document, of which one row stays, any of them where they differ in other columns. Documents
+    without words are linked with nothing, so each of them stays.
     """
-    keep, num = fresh(docs, "class_id", "row_in_id")
-    c = classes(docs, n=5, percent=80).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias(keep)).where(F.col(keep).isNotNull()).distinct()
-    named = docs.join(c, F.col("doc_id") == F.col(keep), "left_semi")
-    one = named.withColumn(num, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col(num) == 1).drop(num)
-    return one.unionByName(docs.where("doc_id is null"))
+    key, kept, rows_, id_, class_ = fresh(docs, "row_key", "kept_key", "rows", "id", "class")
+    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+    found = classes(rows.select(F.col(key).alias("doc_id"), "text"), n=5, percent=80)
+    scratch = Scratch(docs.sparkSession, "one_of_each")
+    ids = rows.groupBy(F.col(key).alias(kept)).agg(F.first(F.col("doc_id").cast("long")).alias(id_), F.count(F.lit(1)).alias(rows_))
+    of = found.groupBy(F.col("doc_id").alias(key)).agg(F.first("component_id").alias(class_))
+    each = ids.join(of, F.col(kept) == F.col(key)).select(kept, id_, rows_, class_)
+    first = F.min(F.struct(F.col(id_).isNull(), F.col(id_), F.col(kept), F.col(rows_))).alias("x")
+    chosen = scratch.cut(each.groupBy(class_).agg(first).select(f"x.{kept}", f"x.{rows_}"), "chosen")
+    n, repeated = chosen.agg(F.count(F.lit(1)), F.count(F.when(F.col(rows_) > 1, 1))).first()
+    once = rows.join(small(chosen.where(F.col(rows_) == 1).select(kept), n), F.col(key) == F.col(kept), "left_semi").drop(key)
+    if not repeated:
+        return once
+    several = rows.join(small(chosen.where(F.col(rows_) > 1).select(kept), repeated), F.col(key) == F.col(kept), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # Equal rows fall together where they are read; what moves is one row for each batch of a task.
+    single = several.groupBy(key).agg(F.first(F.struct(*columns)).alias(kept)).select(f"`{kept}`.*")
+    return once.unionByName(single)
