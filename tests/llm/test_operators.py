@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrazo.llm import decontaminate, gif, html, jaccard, licenses, mixing, sharding, substrings, toxicity, urls
+from terrazo.llm.common import Scratch
 from terrazo.llm.queries import QUERIES
 
 from . import brute
@@ -414,20 +415,84 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 <div class="box"><p>Join us today</p></div><aside>side</aside><div class="comments"><p>a reader</p></div><footer>&copy; F</footer><script>var a='<p>no</p>';</script></body></html>"""
 
 
+def brute_tree(pages, prior):
+    """(host, path) -> (own, parent, importance, best), from the pages' blocks one by one."""
+    import math
+
+    blocks = [(html.host_of(u), dict_of(html.style_nodes(html.parse(h or "")))) for u, h in pages]
+
+    def importance(mine, path):
+        having = [b for b in mine if path in b]
+        m = len(having)
+        styles = Counter(x for b in having for x in b[path][1])
+        log = lambda c: math.log(c) / math.log(m) if m > 1 else 0.0
+        n = sum(styles.values())
+        style = 1 - sum(c * log(c) for c in styles.values()) / n if m > 1 else 1.0
+        same = total = 0.0
+        for p in {p for b in mine for p in b if path in b[p][0]}:
+            there = [b for b in mine if p in b]
+            says = Counter(t for b in there for t in b[p][2])
+            k = len(there)
+            total += sum(says.values())
+            if k > 1:
+                same += min(sum(c * math.log(c) / math.log(k) for c in says.values()), sum(says.values()))
+        own = html.DECAY ** len(styles)
+        return style if not total else (1 - own) * style + own * (1 - same / total)
+
+    out = {}
+    for host in {h for h, _ in blocks}:
+        mine = [b for h, b in blocks if h == host]
+        for path in {p for b in mine for p in b}:
+            m = sum(path in b for b in mine)
+            own, parent = importance(mine, path), importance([b for _, b in blocks], path)
+            out[host, path] = (own, parent, min(parent, ((m - 1) * own + prior * parent) / (m - 1 + prior)))
+    up = {p: b[p][0] for _, b in blocks for p in b}
+    return {(h, p): (*v, max(x[2] for (k, q), x in out.items() if k == h and p in up[q])) for (h, p), v in out.items()}
+
+
+def dict_of(nodes):
+    out = {}
+    for path, up, style, texts, _ in nodes:
+        _, styles, said = out.setdefault(path, (up, set(), set()))
+        styles.add(style)
+        said.update(texts)
+    return out
+
+
 def test_html_style_tree(spark):
     rows = [(i, f"http://Host{i % 2}.org/x/{i}", PAGE % f"text {i}") for i in range(14)]
-    rows += [(50, None, None), (51, "http://one.org/", "plain & <i>simple</i> text"), (52, "x", ""), (50, None, None)]
-    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows += [(50, None, None), (51, "http://one.org/", "plain & <i>simple</i> text"), (52, "x", ""), (50, None, None), (53, None, PAGE % "none")]
+    d = spark.createDataFrame([(*r, "k", "l") for r in rows], "page_id long, url string, html string, removed string, host string")
+    tree = html.style_tree(d, Scratch(spark, "tree"), 4).collect()
+    want = brute_tree([r[1:] for r in rows], 4)
+    assert {(r["host"], r["path"]): pytest.approx((r["own"], r["parent"], r["importance"], r["best"])) for r in tree} == want
     out = [(r["page_id"], r["text"], r["n_chars"]) for r in html.extract_pages(d).collect()]
     text = dict((a, b) for a, b, _ in out)
-    assert text[3] == "First para graph bold <x>\n\nSecond text 3"  # what all pages of the host say goes, as in a style tree
+    # What all pages of the host say goes; the paragraphs differ from page to page and stay, and so does what stands between them.
+    assert text[3] == "First para graph bold <x>\n\nSecond text 3"
     assert text[51] == "plain & simple text" and text[50] == "" == text[52] and len(out) == len(rows)
     assert all(n == len(t) for _, t, n in out)
-    few = html.extract_pages(d.where("page_id in (1, 3)")).collect()
-    assert few[0]["text"] == "Head & line\n\nFirst para graph bold <x>\n\nSecond text 1\n\none\n\ntwo\n\nJoin us today"
+    alone = {r["page_id"]: r["text"] for r in html.extract_pages(d, hints=False).collect()}
+    assert alone[3] == "First para graph bold <x>\n\nSecond text 3" and alone[50] == ""
     assert html.extract_pages(d.limit(0)).collect() == []
 
 
+def test_html_tree_spares_what_class_words_would_remove(spark):
+    page = "<body><div class='content sidebar-left'><p>%s</p></div><div class='sidebar'><p>Links</p></div></body>"
+    rows = [(i, "http://h.org/", page % f"Told on day {i}. Nothing else is like {i * i}") for i in range(8)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["text"] for r in html.extract_pages(d).collect()} == {f"Told on day {i}. Nothing else is like {i * i}" for i in range(8)}
+
+
+def test_html_long_page_and_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(html, "FEW", 0)
+    deep = "<div>" * 20000 + "deep" + "</div>" * 20000
+    rows = [(1, "http://h.org/a", "<article>" + "<p>word &amp; more</p>" * 30000 + "</article>"), (2, "http://h.org/b", deep), (2, "http://h.org/b", deep)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html.extract_pages(d).collect()}
+    assert out == {1: "\n\n".join(["word & more"] * 30000), 2: out[2]} and out[2] in ("deep", "")
+
+
 @pytest.mark.parametrize("source,want", [
     ("<article><h1>A</h1><p><b>B.<br><p>C</p><div class='ad'>x</div><form>f</form></article><footer>z</footer>", "A\n\nB.\n\nC"),
     ("<main><article><p>in</article><p>out</main>", "in"),
