@@ -23,7 +23,7 @@ removed nodes.
 
 Defined cases: a null, empty or textless page has text ""; broken markup is read as browsers do in the usual cases
 (open p, li, td and the like end where the next begins; stray end tags are passed over; an open comment or script
-runs to the end); what is nested deeper than DEEP blocks is text of the block there; a null url is of a host of its own, ""; repeated pages count as pages; an empty table gives an empty one;
+runs to the end); what is nested deeper than a path of DEEP characters is text of the block there; a null url is of a host of its own, ""; repeated pages count as pages; an empty table gives an empty one;
 other columns of pages, whatever their names, are not looked at.
 """
 
@@ -49,8 +49,8 @@ PRIOR = 4
 DECAY = 0.9
 #: Share of a host's text in a branch from which on words of its class don't remove it.
 MOST = 0.5
-#: Levels of the tree; what lies deeper belongs to the block at this level.
-DEEP = 200
+#: Length of a path; what lies deeper belongs to the block there.
+DEEP = 4000
 #: Nodes of removed branches that are sent to every executor at most; beyond, pages meet them by host, in SALT parts of each.
 FEW, SALT = 200_000, 64
 
@@ -150,6 +150,10 @@ def name(node: Node) -> str:
     return node.tag if not node.classes else f"{node.tag}.{re.sub(r'[0-9]+', '', node.classes)}"
 
 
+def below(path: str, node: Node) -> str:
+    return path if len(path) > DEEP else f"{path}/{name(node)}"
+
+
 def noise(node: Node, inside: bool) -> int:
     """Whether markup states that a node isn't the article: 2 by its element or role, 1 by words of class or id, else 0.
 
@@ -193,9 +197,8 @@ def style_nodes(root: Node) -> list[tuple[int, tuple[int, ...], str, list[str],
             if isinstance(c, str):
                 own[3].append(c)
             elif c.tag not in UNSEEN:
-                deep = len(own[1]) >= DEEP
-                p = path if deep else f"{path}/{name(c)}"
-                if c.tag in BLOCK and not deep:
+                p = below(path, c)
+                if c.tag in BLOCK and p is not path:
                     own[3].append("\n")  # text before a block isn't one sentence with text after it
                     key = path_hash(p)
                     record = [key, (*own[1], key), signature(c), [], [], own[5]]
@@ -295,7 +298,7 @@ def extract(source: str | None, removed: frozenset[int] = NONE, spared: frozense
             if c.tag == "br":
                 line.append(" ")
                 continue
-            p = path if len(stack) > 2 * DEEP else f"{path}/{name(c)}"
+            p = below(path, c)
             if c.tag in BLOCK:
                 end()
             if not gone(c, p):
@@ -308,11 +311,13 @@ def extract(source: str | None, removed: frozenset[int] = NONE, spared: frozense
 
 
 def path_of(node: Node) -> str:
-    names = []
+    nodes, path = [], ""
     while node.parent is not None:
-        names.append(name(node))
+        nodes.append(node)
         node = node.parent
-    return "".join(f"/{x}" for x in reversed(names[-2 * DEEP :]))
+    for x in reversed(nodes):
+        path = below(path, x)
+    return path
 
 
 def host_of(url: str | None) -> str:

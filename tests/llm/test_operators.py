@@ -486,7 +486,7 @@ def test_html_tree_spares_what_class_words_would_remove(spark):
 
 def test_html_long_page_and_many_lists(spark, monkeypatch):
     monkeypatch.setattr(html, "FEW", 0)
-    deep = "<div>" * 20000 + "deep" + "</div>" * 20000
+    deep = "<div>" * 20000 + "<b>" * 9000 + "deep" + "</div>" * 20000
     rows = [(1, "http://h.org/a", "<article>" + "<p>word &amp; more</p>" * 30000 + "</article>"), (2, "http://h.org/b", deep), (2, "http://h.org/b", deep)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
     out = {r["page_id"]: r["text"] for r in html.extract_pages(d).collect()}
