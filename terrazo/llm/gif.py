@@ -1,11 +1,11 @@
 """GIF columns: decoding of LZW code streams, palettes, disposal and transparency, timed frames, histograms.
 
-decode() reads any GIF87a or GIF89a: global and local palettes, interlace, graphic control blocks
-(delay, disposal 0 to 3, transparent index), loop count, and composes the frames on the canvas.
-encode() writes indexed frames, either as real LZW or as "literal" LZW: each sample as a code of its
-own, with a clear code before the code width would grow. Literal streams are 9/8 of their samples'
-size and are packed and unpacked as arrays; every decoder reads them. The query stores texts so,
-since storing and reading back 100 TB must not take a Python step for each byte.
+parse() reads any GIF87a or GIF89a: global and local palettes, interlace, graphic control blocks
+(delay, disposal 0 to 3, transparent index), loop count; compose() shows the frames on the canvas.
+encode() writes indexed frames as LZW.
+
+An LZW table grows by one entry a code, so the width of a code follows from its number since the last clear code. Codes are
+therefore packed and unpacked as arrays, a run between two clear codes at a time; only the table itself is walked code by code.
 
 Defined cases of the query: a null text is the empty one; 0 bytes are stored as 64 bytes 0; long texts
 take as many frames as they need (ROWS lines of 64 samples each); repeated rows give equal values;
@@ -19,6 +19,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,8 @@ from .kernels import utf8
 WIDTH = 64
 #: Lines of a stored frame, at most.
 ROWS = 4096
-CLEAR, END = 256, 257
-#: Samples between two clear codes of a literal stream: the decoder's table then stays under 512 codes.
-RUN = 254
+#: Entries of a table, at most.
+TABLE = 4096
 GREY = bytes(x for i in range(256) for x in (i, i, i))
 
 
@@ -58,128 +58,112 @@ def _blocks(stream: bytes) -> bytes:
     return bytes(out)
 
 
-def _pack(codes: np.ndarray, width: int) -> bytes:
-    """Codes of one width, least bit first."""
-    bits = ((codes[:, None] >> np.arange(width)) & 1).astype(np.uint8)
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+@cache
+def _growing(bits: int) -> np.ndarray:
+    """Widths of the first TABLE codes after a clear code: the table has an entry more with each code but the first."""
+    size = (1 << bits) + 2 + np.maximum(0, np.arange(TABLE) - 1)
+    return np.clip(np.frexp(size)[1], bits + 1, 12).astype(np.int64)
+
+
+def _widths(start: int, n: int, bits: int) -> np.ndarray:
+    """Widths of the codes number start to start + n - 1 after a clear code; those of a full table are of 12 bits."""
+    early = _growing(bits)[start : start + n]
+    return early if len(early) == n else np.concatenate((early, np.full(n - len(early), 12)))
 
 
-def literal_codes(samples: np.ndarray) -> bytes:
-    """Code stream (9 bits a code) of samples as literals."""
-    n = len(samples)
-    runs = max(1, -(-n // RUN))
-    codes = np.full(runs * (RUN + 1), CLEAR, np.uint16)
-    body = codes.reshape(runs, RUN + 1)[:, 1:]
-    padded = np.zeros(runs * RUN, np.uint16)
-    padded[:n] = samples
-    body[:] = padded.reshape(runs, RUN)
-    codes = codes[: n + runs]
-    return _pack(np.append(codes, np.uint16(END)), 9)
+def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """The codes, least bit first, one after the other."""
+    last = np.cumsum(widths)
+    bit = np.arange(last[-1]) - np.repeat(last - widths, widths)
+    return np.packbits((np.repeat(codes, widths) >> bit & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def lzw_codes(samples: bytes, bits: int = 8) -> bytes:
-    """Code stream of samples of so many bits by real LZW, with tables up to 4096 codes."""
+    """Code stream of samples of so many bits, with tables up to TABLE codes."""
     clear, end = 1 << bits, (1 << bits) + 1
-    out, acc, held = bytearray(), 0, 0
-    width, table, free = bits + 1, {}, end + 1
-
-    def put(code: int) -> None:
-        nonlocal acc, held
-        acc |= code << held
-        held += width
-        while held >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            held -= 8
-
-    put(clear)
-    prefix = -1
-    for s in samples:
-        if prefix < 0:
-            prefix = s
-        elif (code := table.get((prefix, s))) is not None:
+    codes, clears = [clear], [0]
+    put, table, free = codes.append, {}, end + 1
+    left = iter(samples)
+    prefix = next(left, None)
+    for s in left:
+        key = prefix << 8 | s
+        if (code := table.get(key)) is not None:
             prefix = code
+            continue
+        put(prefix)
+        prefix = s
+        if free < TABLE:
+            table[key] = free
+            free += 1
         else:
-            put(prefix)
-            if free < 4096:
-                table[prefix, s] = free
-                if free == 1 << width and width < 12:
-                    width += 1
-                free += 1
-            else:
-                put(clear)
-                width, table, free = bits + 1, {}, end + 1
-            prefix = s
-    if prefix >= 0:
+            clears.append(len(codes))
+            put(clear)
+            table, free = {}, end + 1
+    if prefix is not None:
         put(prefix)
-        if free == 1 << width and width < 12:
-            width += 1
     put(end)
-    if held:
-        out.append(acc & 255)
-    return bytes(out)
-
-
-def _literal(stream: bytes, bits: int, count: int) -> np.ndarray | None:
-    """The samples of a stream of literals of one width, or None if it has other codes."""
-    if bits != 8:
-        return None
-    n = len(stream) * 8 // 9
-    raw = np.unpackbits(np.frombuffer(stream, np.uint8, -(-n * 9 // 8)), bitorder="little")[: n * 9]
-    codes = np.packbits(raw.reshape(n, 9), axis=1, bitorder="little").view("<u2").ravel()
-    ends = np.flatnonzero(codes == END)
-    if not len(ends):
-        return None
-    codes = codes[: ends[0]]
-    clears = np.flatnonzero(codes == CLEAR)
-    gaps = np.diff(np.append(clears, len(codes))) - 1
-    if not len(clears) or clears[0] != 0 or gaps.max() > RUN or (codes > END).any():
-        return None
-    samples = codes[codes != CLEAR].astype(np.uint8)
-    return samples if len(samples) == count else None
+    # A clear code has the width that the code in its place would have; the first one has that of a new table.
+    lengths = np.diff([*clears, len(codes)])
+    widths = [np.array([bits + 1])] + [w for n in lengths.tolist() for w in (_widths(0, n, bits),)]
+    return _pack(np.array(codes, np.int64), np.concatenate(widths)[: len(codes)])
+
+
+class Codes:
+    """Reader of a code stream: codes() gives those up to the next clear or end code, and which of both it is."""
+
+    def __init__(self, stream: bytes, bits: int):
+        self.data = np.frombuffer(stream + bytes(4), np.uint8).astype(np.uint32)
+        self.size, self.at, self.bits = 8 * len(stream), 0, bits
+
+    def codes(self) -> tuple[list[int], int]:
+        out: list[int] = []
+        start, clear = 0, 1 << self.bits
+        while True:
+            step = min(TABLE, (self.size - self.at) // (self.bits + 1) + 1)
+            widths = _widths(start, step, self.bits)
+            ends = self.at + np.cumsum(widths)
+            n = int(np.searchsorted(ends, self.size, "right"))
+            first = ends[:n] - widths[:n]
+            byte = first >> 3
+            word = self.data[byte] | self.data[byte + 1] << np.uint32(8) | self.data[byte + 2] << np.uint32(16)
+            got = (word >> (first & 7).astype(np.uint32)) & ((1 << widths[:n]) - 1).astype(np.uint32)
+            stop = np.flatnonzero((got == clear) | (got == clear + 1))
+            if len(stop):
+                k = int(stop[0])
+                self.at = int(ends[k])
+                return out + got[:k].tolist(), int(got[k])
+            out += got.tolist()
+            if n < step:
+                return out, clear + 1
+            start, self.at = start + n, int(ends[-1])
 
 
 def read_codes(stream: bytes, bits: int, count: int) -> np.ndarray:
-    """The first count samples of an LZW code stream with so many bits a sample; too short a stream is filled with 0."""
-    fast = _literal(stream, bits, count)
-    if fast is not None:
-        return fast
-    clear, end = 1 << bits, (1 << bits) + 1
-    start = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, previous = list(start), bits + 1, b""
-    acc = held = 0
-    out = bytearray()
-    for byte in stream:
-        acc |= byte << held
-        held += 8
-        while held >= width:
-            code = acc & ((1 << width) - 1)
-            acc >>= width
-            held -= width
-            if code == clear:
-                table, width, previous = list(start), bits + 1, b""
-                continue
-            if code == end or len(out) >= count:
-                acc, held, count = 0, -(1 << 40), min(count, len(out)) if code == end else count
-                break
-            if not previous:
-                entry = table[code] if code < len(table) else b""
-            else:
-                if code > len(table):
-                    raise ValueError("LZW code out of range")
-                entry = table[code] if code < len(table) else previous + previous[:1]
-                if len(table) < 4096:
-                    table.append(previous + entry[:1])
-                    if len(table) == 1 << width and width < 12:
-                        width += 1
-            out += entry
+    """The first count samples of an LZW code stream with so many bits a sample; too short a stream gives fewer."""
+    reader, out, had, stop = Codes(stream, bits), [], 0, 1 << bits
+    single = [bytes([i]) for i in range(1 << bits)] + [b"", b""]
+    while had < count and stop == 1 << bits:
+        codes, stop = reader.codes()
+        if not codes:
+            continue
+        table, previous = list(single), b""
+        add, put = table.append, out.append
+        for code in codes:
+            try:
+                entry = table[code]
+            except IndexError:
+                if not previous or code > len(table):
+                    raise ValueError("LZW code out of range") from None
+                entry = previous + previous[:1]
+            if previous and len(table) < TABLE:
+                add(previous + entry[:1])
+            put(entry)
             previous = entry
-        if held < -(1 << 30):
-            break
-    return np.frombuffer(bytes(out), np.uint8)
+        had = sum(map(len, out)) if len(out) < 2 * len(codes) else had + sum(map(len, out[-len(codes) :]))
+    return np.frombuffer(b"".join(out)[:count], np.uint8)
 
 
-def encode(width: int, height: int, frames: list[Frame], palette: bytes = GREY, literal: bool = False, loop: int | None = None) -> bytes:
+def encode(width: int, height: int, frames: list[Frame], palette: bytes = GREY, loop: int | None = None) -> bytes:
     """A GIF89a of the frames; palettes of 256 colours, samples of 8 bits."""
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette.ljust(768, b"\0")]
     if loop is not None:
@@ -193,7 +177,7 @@ def encode(width: int, height: int, frames: list[Frame], palette: bytes = GREY,
             out.append(f.palette.ljust(768, b"\0"))
         lines = f.indices[_interlace(h)] if f.interlaced else f.indices
         samples = np.ascontiguousarray(lines, np.uint8)
-        out.append(b"\x08" + _blocks(literal_codes(samples.ravel()) if literal else lzw_codes(samples.tobytes())))
+        out.append(b"\x08" + _blocks(lzw_codes(samples.tobytes())))
     out.append(b"\x3b")
     return b"".join(out)
 
@@ -248,7 +232,7 @@ def parse(data: bytes) -> Image:
                 local, at = data[at : at + size], at + size
             bits = data[at]
             stream, at = sub_blocks(at + 1)
-            got = read_codes(stream, bits, w * h)[: w * h]
+            got = read_codes(stream, bits, w * h)
             indices = np.zeros(w * h, np.uint8)
             indices[: len(got)] = got
             indices = indices.reshape(h, w)
@@ -319,10 +303,20 @@ def frames_of(df: DataFrame, content: str, key: str) -> DataFrame:
 
 
 def store(payload: np.ndarray) -> bytes:
-    """A GIF of greys that holds the payload (a multiple of 64 bytes), line by line."""
+    """A GIF of greys that holds the payload (a multiple of 64 bytes), line by line; each frame is taken off before the next."""
     lines = payload.reshape(-1, WIDTH)
-    frames = [Frame(0, 0, lines[i : i + ROWS], delay=10) for i in range(0, len(lines), ROWS)]
-    return encode(WIDTH, min(len(lines), ROWS), frames, literal=True, loop=0)
+    frames = [Frame(0, 0, lines[i : i + ROWS], delay=10, disposal=2) for i in range(0, len(lines), ROWS)]
+    return encode(WIDTH, min(len(lines), ROWS), frames, loop=0)
+
+
+def feature_of(image: Image) -> str:
+    """Size, frames, time, and the colours shown (those of eight levels a channel that occur) summed over the frames."""
+    colours, lasts = np.zeros(512, np.int64), 0
+    for _, delay, canvas in compose(image):
+        colours += histogram(canvas, 8)
+        lasts += delay
+    shown = np.flatnonzero(colours)
+    return f"{image.width}x{image.height};frames={len(image.frames)};cs={lasts};hist=" + ",".join(f"{c}:{colours[c]}" for c in shown)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,9 +331,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
                 media = store(payload)
                 image = parse(media)
                 read = b"".join(f.indices.tobytes() for f in image.frames)
-                # The palette is grey, so a frame's colour histogram is that of its samples, in eight equal bins.
-                colours = np.bincount(np.frombuffer(read, np.uint8), minlength=256).reshape(8, 32).sum(1)
-                feature = f"{image.width}x{image.height};frames={len(image.frames)};cs={sum(f.delay for f in image.frames)};hist=" + ",".join(map(str, colours.tolist()))
+                feature = feature_of(image)
                 rows.append((n, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

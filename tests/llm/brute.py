@@ -100,3 +100,25 @@ def groups(pairs):
     for k, v in pairs:
         out[k].add(v)
     return out
+
+
+def gif_samples(stream, bits, count):
+    """Decoding of an LZW code stream bit by bit."""
+    clear, end = 1 << bits, (1 << bits) + 1
+    number, at = int.from_bytes(stream, "little"), 0
+    table, width, previous, out = [], bits + 1, b"", b""
+    while len(out) < count:
+        code = number >> at & ((1 << width) - 1)
+        at += width
+        if code == clear:
+            table, width, previous = [bytes([i]) for i in range(clear)] + [b"", b""], bits + 1, b""
+            continue
+        if code == end:
+            break
+        entry = table[code] if code < len(table) else previous + previous[:1]
+        if previous and len(table) < 4096:
+            table.append(previous + entry[:1])
+            if len(table) == 1 << width and width < 12:
+                width += 1
+        out, previous = out + entry, entry
+    return out[:count]

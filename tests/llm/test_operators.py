@@ -329,14 +329,27 @@ def test_decontamination_finds_verbatim_items(spark, sf):
 # --- op3
 
 
-def test_gif_round_trip_real_lzw():
+def test_gif_round_trip():
     rng = np.random.default_rng(4)
-    for n, top in ((1, 2), (254, 256), (255, 256), (70000, 3), (9000, 256)):
+    for n, top in ((1, 2), (254, 256), (255, 256), (70000, 3), (9000, 256), (4200, 256)):
         s = rng.integers(0, top, n).astype(np.uint8)
-        for stream in (gif.lzw_codes(s.tobytes()), gif.literal_codes(s)):
-            assert (gif.read_codes(stream, 8, n) == s).all()
-    s = rng.integers(0, 4, 5000).astype(np.uint8)
-    assert (gif.read_codes(gif.lzw_codes(s.tobytes(), 2), 2, 5000) == s).all()
+        stream = gif.lzw_codes(s.tobytes())
+        assert (gif.read_codes(stream, 8, n) == s).all() and brute.gif_samples(stream, 8, n) == s.tobytes()
+    for n in (3, 5000):
+        s = rng.integers(0, 4, n).astype(np.uint8)
+        stream = gif.lzw_codes(s.tobytes(), 2)
+        assert (gif.read_codes(stream, 2, n) == s).all() and brute.gif_samples(stream, 2, n) == s.tobytes()
+        assert len(gif.read_codes(stream[:1], 2, n)) < n
+    same = bytes(200_000)
+    assert len(gif.lzw_codes(same)) < 2000 and gif.read_codes(gif.lzw_codes(same), 8, 200_000).tobytes() == same
+    # A table that is full and goes on without a clear code: 12 bits a code, no new entries.
+    full = rng.integers(0, 256, 6000)
+    codes = np.concatenate(([256], full, [257]))
+    widths = np.concatenate(([9], gif._widths(0, 6001, 8)))
+    stream = gif._pack(codes, widths)
+    assert gif.read_codes(stream, 8, 6000).tolist() == full.tolist() and list(brute.gif_samples(stream, 8, 6000)) == full.tolist()
+    with pytest.raises(ValueError):
+        gif.read_codes(gif._pack(np.array([256, 300]), np.array([9, 9])), 8, 5)
 
 
 def test_gif_compose():
@@ -367,6 +380,10 @@ def test_gif_query(spark, docs, texts, empty):
         r = out[3 * i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r["tail_crc32"] == brute.zlib.crc32(payload[-64:])
+        levels = Counter(b // 32 * 73 for b in payload)
+        assert r["feature"].split("hist=")[1] == ",".join(f"{k}:{v}" for k, v in sorted(levels.items()))
+        if len(raw) > 10_000:
+            assert r["media_bytes"] < 0.8 * len(raw)
     media = gif.store(np.zeros(64, np.uint8))
     d = spark.createDataFrame([(1, bytearray(media)), (2, bytearray(b"junk")), (3, None)], "id long, content binary")
     rows = {r["id"]: r for r in gif.frames_of(d, "content", "id").collect()}
