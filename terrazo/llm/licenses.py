@@ -2,15 +2,18 @@
 
 Every rolling word k-gram of every text is joined to the k-gram positions of the templates. A hit at
 word i of the text and word j of a template votes for the diagonal i - j. Votes are summed by
-(document, template, diagonal) before they move, neighbouring diagonals are merged, so that a few
-inserted or lost words don't split a place, and a span counts if the template's k-grams that
-it covers reach the template's share. The short base phrases are templates that must be covered wholly
+(document, template, diagonal) before they move; a diagonal has each position of the template once at most. Neighbouring
+diagonals are merged, so that a few inserted or lost words don't split a place. What is merged is verified: each
+diagonal must go on in the text behind the one before, with template positions that all come later, so that a place is
+of distinct positions in their order; where one isn't, a new place begins. A place counts if the positions that it
+covers reach the template's share. The short base phrases are templates that must be covered wholly
 on one diagonal; longer license notices give the method's own labels.
 
-The templates are a fixed table of some hundred k-grams, so the join is a broadcast one.
+The templates are a fixed table of some hundred k-grams, so the join is a broadcast one. A place is a row of its own, so
+a text of any length with any number of places is sorted, not collected.
 Defined cases: a null or wordless text has no words and no places; texts of fewer than k words have no
 k-grams; rows are told apart by a row number, so repeated rows and null ids each give their own row; an
-empty table gives an empty one.
+empty table gives an empty one; other columns of docs, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents
@@ -81,8 +84,12 @@ def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(w.count), lists], names=["row", "doc_id", "n_words", "grams"])
 
 
+PLACE = ("row", "doc_id", "n_words", "template", "label", "kind", "need", "size")
+
+
 def scan(docs: DataFrame, phrases: tuple = PHRASES, notices: tuple = NOTICES) -> DataFrame:
-    """A row for each row of docs: doc_id, n_words and spans, an array of (label, kind, start, covered, size) of verified places."""
+    """A row for each place: row, doc_id, n_words, template, label, kind, start and end (words), covered, size. Rows of docs without
+    any have one with label null."""
     spark = docs.sparkSession
     table = F.broadcast(template_table(spark, phrases, notices))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -94,33 +101,23 @@ def scan(docs: DataFrame, phrases: tuple = PHRASES, notices: tuple = NOTICES) ->
     place = F.when(F.col("kind") == "base", F.col("at")).otherwise(F.col("at") - first_notice)
     hits = hits.withColumn("diagonal", (place - F.col("j")).cast("long"))
     # 2-grams and 3-grams are hashed with their length, so a gram never meets a template of the other length.
-    votes = hits.groupBy("row", "doc_id", "n_words", "template", "label", "kind", "need", "size", "diagonal").agg(F.count("template").alias("votes"))
-    merged = votes.groupBy("row", "doc_id", "n_words").agg(
-        F.array_sort(F.collect_list(F.when(F.col("template").isNotNull(), F.struct("template", "diagonal", "votes", "label", "kind", "need", "size")))).alias("v")
-    )
-    none = "CAST(NULL AS struct<template:string,diagonal:bigint,votes:bigint,label:string,kind:string,need:int,size:int>)"
-    spot = "named_struct('template', {0}.template, 'diagonal', {1}.diagonal, 'votes', {2}, 'label', {0}.label, 'kind', {0}.kind, 'need', {0}.need, 'size', {0}.size)"
-    near = f"a.last.template = x.template AND x.kind = 'notice' AND x.diagonal - a.last.diagonal <= {NEIGHBOUR} AND a.last.votes + x.votes <= x.size"
-    fold = (
-        f"aggregate(v, named_struct('last', {none}, 'out', CAST(array() AS array<struct<template:string,diagonal:bigint,votes:bigint,label:string,kind:string,need:int,size:int>>)),"
-        f" (a, x) -> CASE WHEN a.last IS NULL THEN named_struct('last', x, 'out', a.out)"
-        f" WHEN {near} THEN named_struct('last', {spot.format('x', 'a.last', 'a.last.votes + x.votes')}, 'out', a.out)"
-        f" WHEN a.last.votes >= a.last.need THEN named_struct('last', x, 'out', a.out || array(a.last)) ELSE named_struct('last', x, 'out', a.out) END,"
-        f" a -> CASE WHEN a.last IS NOT NULL AND a.last.votes >= a.last.need THEN a.out || array(a.last) ELSE a.out END)"
-    )
-    spans = F.expr(f"transform({fold}, s -> named_struct('label', s.label, 'kind', s.kind, 'start', greatest(s.diagonal, 0L), 'covered', s.votes, 'size', s.size))")
-    return merged.select("row", "doc_id", "n_words", spans.alias("spans"))
+    votes = hits.groupBy(*PLACE, "diagonal").agg(F.count("template").alias("votes"), F.min("j").alias("low"), F.max("j").alias("high"))
+    begin = F.col("diagonal") + F.col("low")
+    before = Window.partitionBy("row", "template").orderBy(begin, "diagonal")
+    goes_on = (F.col("kind") == "notice") & (F.col("low") > F.lag("high").over(before)) & (F.abs(F.col("diagonal") - F.lag("diagonal").over(before)) <= NEIGHBOUR)
+    merged = votes.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("place", F.sum("new").over(before))
+    k = F.when(F.col("kind") == "base", K_PHRASE).otherwise(K_NOTICE)
+    spans = merged.groupBy(*PLACE, "place").agg(F.min(begin).alias("start"), F.max(F.col("diagonal") + F.col("high") + k).alias("end"), F.sum("votes").alias("covered"))
+    real = F.col("covered") >= F.col("need")
+    return spans.select("row", "doc_id", "n_words", "template", F.when(real, F.col("label")).alias("label"), F.when(real, F.col("kind")).alias("kind"), "start", "end", "covered", "size")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(documents(spark, sf_dir))
-    base = F.expr("filter(spans, s -> s.kind = 'base')")
-    starts = F.transform(base, lambda s: s["start"])
-    names = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
-    score = F.coalesce(F.array_max(F.transform("spans", lambda s: s["covered"] / s["size"])), F.lit(0.0))
-    return found.select(
-        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        names(base).alias("base_labels"), names(F.col("spans")).alias("labels"), F.least(score, F.lit(1.0)).alias("score"),
-    )
-
-
+    base = F.col("kind") == "base"
+    labels = lambda which: F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("label")))), ",")
+    return found.groupBy("row", "doc_id", "n_words").agg(
+        F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("start"))).alias("first_word"), F.max(F.when(base, F.col("start"))).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.lit(True)).alias("labels"),
+        F.coalesce(F.max(F.when(F.col("label").isNotNull(), F.col("covered") / F.col("size"))), F.lit(0.0)).alias("score"),
+    ).drop("row")

@@ -122,3 +122,28 @@ def gif_samples(stream, bits, count):
                 width += 1
         out, previous = out + entry, entry
     return out[:count]
+
+
+def notices(text, templates, k, share, neighbour):
+    """(label, start, end, covered) of the places of the templates (label, phrase) in a text."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(ASCII_LOWER))
+    out = []
+    for label, phrase in templates:
+        p = phrase.split()
+        size = len(p) - k + 1
+        diagonals = defaultdict(list)
+        for i in range(len(w) - k + 1):
+            for j in range(size):
+                if w[i : i + k] == p[j : j + k]:
+                    diagonals[i - j].append(j)
+        places, last = [], None
+        for d, js in sorted(diagonals.items(), key=lambda x: (x[0] + min(x[1]), x[0])):
+            if last is None or min(js) <= last[1] or abs(d - last[0]) > neighbour:
+                places.append([])
+            places[-1] += [(d + j, j) for j in js]
+            last = (d, max(js))
+        for place in places:
+            assert len({j for _, j in place}) == len(place) and [j for _, j in sorted(place)] == sorted(j for _, j in place)
+            if len(place) >= share * size:
+                out.append((label, min(place)[0], max(place)[0] + k, len(place)))
+    return sorted(out)

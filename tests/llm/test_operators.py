@@ -239,6 +239,37 @@ def test_license_notice_with_edits(spark, empty):
     assert licenses.scan(empty).collect() == []
 
 
+def test_license_places_against_brute_force(spark):
+    rng = random.Random(21)
+    texts = ["released under the released under the", "under the mit license released under the", "mit license " * 40 + "released under the mit license " * 3, "", None]
+    for i in range(150):
+        w = []
+        for _ in range(rng.randrange(1, 5)):
+            p = rng.choice(licenses.NOTICES)[1].split()
+            for _ in range(rng.randrange(4)):
+                k = rng.randrange(len(p))
+                p[k : k + rng.randrange(2)] = [rng.choice("the of under indeed".split())] * rng.randrange(3)
+            w += p[rng.randrange(3) :] + [rng.choice(WORDS) for _ in range(rng.randrange(5))]
+        texts.append(" ".join(w))
+    d = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, label string, place string")
+    got = defaultdict(list)
+    for r in licenses.scan(d).where("kind = 'notice'").collect():
+        got[r["doc_id"]].append((r["label"], r["start"], r["end"], r["covered"]))
+    for i, t in enumerate(texts):
+        assert sorted(got[i]) == brute.notices(t, licenses.NOTICES, 3, licenses.NOTICE_SHARE, licenses.NEIGHBOUR)
+    assert not got[0] and sum(map(len, got.values())) > 100
+
+
+def test_license_many_places_in_one_text(spark):
+    import time
+
+    d = spark.createDataFrame([(1, "mit license " * 64_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    (r,) = _license_query(spark, d).collect()
+    assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["labels"], r["score"]) == (128_000, 64_000, 0, 127_998, "mit", 1.0)
+    assert time.perf_counter() - began < 60
+
+
 # --- op4
 
 
