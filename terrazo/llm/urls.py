@@ -1,20 +1,25 @@
 """URL filter: rules first, then gradient-boosted trees over lexical features, with DataFrame functions only.
 
-The trees are grown from labelled URLs. By default these are the URLs that a rule decides; a table
-of (url, label) may be given instead. Features are whole numbers in bins that are fixed below, so the
-labelled URLs shrink to a table of bin counts before the first tree. Each level of a tree is one
-aggregation of gradient sums by node, feature and bin, of which a few hundred rows come to the
-driver whatever the number of URLs. The finished trees are one SQL expression.
+The trees are grown from labelled URLs: a table of (url, label) if one is given; else all URLs of the pages, labelled
+block where a part of the host is one of SEEDS and allow elsewhere. The trees see neither the seeds nor the rules, only
+lexical features, so they carry the seeds' likeness over to other hosts, whatever these are called. Features are whole
+numbers in bins that are fixed below, so the labelled URLs shrink to a table of bin counts before the first tree. A tree
+has two levels and takes one aggregation: gradient sums by pairs of features and their bins, from which the driver
+reads the root's split and those below it; the sums are some thousand rows whatever the number of URLs. The finished
+trees are one SQL expression.
 
 Defined cases: a null url, or one without "://", has an empty host and path, fits no rule and is
 judged by the trees; with no labelled URLs, or labels of one kind, the verdict is allow unless all
-labels are block; repeated pages are judged alike; an empty table gives an empty one.
+labels are block; repeated pages are judged alike; an empty table gives an empty one; other columns of pages,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +27,10 @@ from .common import Scratch
 
 #: Fixed values: (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+#: Parts of a host that name what isn't wanted.
+SEEDS = tuple("adult bet bets betting casino casinos cialis dating escort escorts jackpot loan loans lottery payday pharma pill pills poker porn replica sex slots viagra xxx".split())
 BINS = 16
 TREES = 12
-DEPTH = 2
 RATE = 0.4
 #: Labelled URLs that the trees are grown from, at most (on average of the draw by hash).
 TRAIN_ROWS = 500_000
@@ -83,59 +89,91 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
 SUFFIX = ("suffix_rate", "suffix_size")
 
 
-def _tree(nodes: dict[int, tuple], at: int = 1) -> str:
-    f, b, value = nodes[at]
-    return f"{value!r}D" if f is None else f"CASE WHEN {f} <= {b} THEN {_tree(nodes, 2 * at)} ELSE {_tree(nodes, 2 * at + 1)} END"
-
-
-def _node(nodes: dict[int, tuple], at: int = 1) -> str:
-    """SQL of the number of the leaf that a row is in."""
-    f, b, _ = nodes[at]
-    return str(at) if f is None else f"CASE WHEN {f} <= {b} THEN {_node(nodes, 2 * at)} ELSE {_node(nodes, 2 * at + 1)} END"
-
-
-def boost(table: DataFrame, features: list[str], trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> tuple[float, list[str]]:
+def seeded(host: Column, seeds: tuple = SEEDS) -> Column:
+    """1.0 where a part of the host is a seed, else 0.0."""
+    return F.regexp_like(host, F.lit(rf"(^|[.-])({'|'.join(seeds)})([.-]|$)")).cast("double")
+
+
+def _split(sums: dict[str, np.ndarray]) -> tuple[float, str, int] | None:
+    """(gain, feature, bin) of the best split of a node. sums: for each feature, gradients and hessians by bin."""
+    best = None
+    for f, (g, h) in sums.items():
+        left_g, left_h = np.cumsum(g)[:-1], np.cumsum(h)[:-1]
+        all_g, all_h = g.sum(), h.sum()
+        gain = left_g**2 / (left_h + 1) + (all_g - left_g) ** 2 / (all_h - left_h + 1) - all_g**2 / (all_h + 1)
+        b = int(gain.argmax())
+        if gain[b] > 1e-6 + 1e-9 + (best[0] if best else 0.0):
+            best = (float(gain[b]), f, b)
+    return best
+
+
+def _leaf(sums: dict[str, np.ndarray], rate: float) -> str:
+    g, h = next(iter(sums.values()))
+    return f"{rate * float(g.sum()) / (float(h.sum()) + 1)!r}D"
+
+
+def _grown(cells: dict[tuple[str, str], np.ndarray], features: list[str], rate: float) -> str | None:
+    """SQL of the tree of two levels that gradients and hessians by pairs of bins ask for."""
+
+    def sums(side: slice = slice(None), of: str | None = None) -> dict[str, np.ndarray]:
+        out = {}
+        for f in features:
+            if f == of or of is None:
+                other = next(x for x in features if x != f)
+                whole = (cells[f, other].sum(2) if (f, other) in cells else cells[other, f].sum(1)).copy()
+                if of is not None:
+                    keep = np.zeros_like(whole)
+                    keep[:, side] = whole[:, side]
+                    whole = keep
+                out[f] = whole
+            else:
+                out[f] = cells[of, f][:, side].sum(1) if (of, f) in cells else cells[f, of][:, :, side].sum(2)
+        return out
+
+    root = _split(sums())
+    if root is None:
+        return None
+    _, f, b = root
+    sides = []
+    for side in (slice(0, b + 1), slice(b + 1, None)):
+        node = sums(side, f)
+        below = _split(node)
+        if below is None:
+            sides.append(_leaf(node, rate))
+            continue
+        _, f2, b2 = below
+        parts = [{f2: np.where(np.arange(BINS) <= b2, node[f2], 0.0)}, {f2: np.where(np.arange(BINS) > b2, node[f2], 0.0)}]
+        sides.append(f"CASE WHEN {f2} <= {b2} THEN {_leaf(parts[0], rate)} ELSE {_leaf(parts[1], rate)} END")
+    return f"CASE WHEN {f} <= {b} THEN {sides[0]} ELSE {sides[1]} END"
+
+
+def boost(table: DataFrame, features: list[str], trees: int = TREES, rate: float = RATE) -> tuple[float, list[str]]:
     """table: features (bins), label (0.0/1.0), n (rows). Gives the base score and the trees as SQL; logistic loss."""
     total, ones = table.agg(F.sum("n"), F.sum(F.col("n") * F.col("label"))).first()
     if not total or not ones or ones == total:
         return (20.0 if total and ones == total else -20.0), []
     base = math.log(ones / (total - ones))
     grown: list[str] = []
-    stack = f"stack({len(features)}, {', '.join(f"'{f}', {f}" for f in features)}) as (f, b)"
+    pairs = list(combinations(features, 2))
+    stack = f"stack({len(pairs)}, {', '.join(f'{i}, {f}, {g}' for i, (f, g) in enumerate(pairs))}) as (pair, x, y)"
     for _ in range(trees):
         score = " + ".join([f"{base!r}D", *[f"({t})" for t in grown]])
-        nodes: dict[int, tuple] = {1: (None, None, 0.0)}
-        for level in range(depth):
-            sums = (
-                table.withColumn("p", F.expr(f"1 / (1 + exp(-({score})))")).withColumn("node", F.expr(_node(nodes)))
-                .withColumn("g", F.expr("n * (label - p)")).withColumn("h", F.expr("n * p * (1 - p)"))
-                .select("node", "g", "h", F.expr(stack)).groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-            )
-            rows = sums.collect()  # at most 2**level nodes times features times BINS
-            for node in sorted({r["node"] for r in rows}):
-                of = {f: sorted((r["b"], r["g"], r["h"]) for r in rows if r["node"] == node and r["f"] == f) for f in features}
-                all_g, all_h = (math.fsum(x[i] for x in next(iter(of.values()))) for i in (1, 2))
-                best = (1e-6, None, None, 0.0, 0.0)
-                for f in features:
-                    g = h = 0.0
-                    for b, dg, dh in of[f][:-1]:
-                        g, h = g + dg, h + dh
-                        gain = g * g / (h + 1) + (all_g - g) ** 2 / (all_h - h + 1) - all_g**2 / (all_h + 1)
-                        if gain > best[0] + 1e-9:
-                            best = (gain, f, b, rate * g / (h + 1), rate * (all_g - g) / (all_h - h + 1))
-                if best[1] is None:
-                    nodes[node] = (None, None, rate * all_g / (all_h + 1) if level == 0 else nodes[node][2])
-                else:
-                    nodes[node] = (best[1], best[2], None)
-                    nodes[2 * node], nodes[2 * node + 1] = (None, None, best[3]), (None, None, best[4])
-        grown.append(_tree(nodes))
+        known = table.withColumn("p", F.expr(f"1 / (1 + exp(-({score})))")).selectExpr(*features, "n * (label - p) as g", "n * p * (1 - p) as h")
+        sums = known.selectExpr("g", "h", stack).groupBy("pair", "x", "y").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        cells = {p: np.zeros((2, BINS, BINS)) for p in pairs}
+        for r in sums.collect():  # at most pairs of features times BINS * BINS
+            cells[pairs[r["pair"]]][:, r["x"], r["y"]] = r["g"], r["h"]
+        tree = _grown(cells, features, rate)
+        if tree is None:
+            break
+        grown.append(tree)
     return base, grown
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, labelled: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict and score (the trees' chance of block) of each row of pages.
 
-    labelled: a table of url and label (1: block); without it, the URLs of pages that a rule decides.
+    labelled: a table of url and label (1: block); without it, all URLs of pages, labelled by SEEDS.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
@@ -149,7 +187,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, labelled: DataFrame | None = N
 
     rows = seen(pages.select("page_id", "url")).withColumn("ruled", ruled(F.col("host"), F.col("path"), rules))
     if labelled is None:
-        known = rows.where("ruled is not null").withColumn("label", (F.col("ruled.verdict") == "block").cast("double"))
+        known = rows.withColumn("label", seeded(F.col("host")))
     else:
         known = seen(labelled.select("url", "label")).withColumn("label", F.col("label").cast("double"))
     names = list(lexical(F.col("url"), F.col("host"), F.col("path")))

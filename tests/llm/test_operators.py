@@ -582,7 +582,7 @@ def rule_of(host, path):
 
 
 def test_urls(spark, sf):
-    odd = [None, "", "nohost", "http://", "http://ORG/", "https://EXAMPLE.org/es/", "http://a.example.org/en/12?x=/", "http://x.com/de/#a", "http://xcom/fr/", "ftp://é.com/fr/ü?q&r", "http://a.org", "http://b.org?x", "://c.com/fr/", "http://d.net#x://y"]
+    odd = [None, "", "nohost", "http://", "http://ORG/", "https://EXAMPLE.org/es/", "http://a.example.org/en/12?x=/", "http://x.com/de/#a", "http://xcom/fr/", "ftp://é.com/fr/ü?q&r", "http://a.org", "http://b.org?x", "://c.com/fr/", "http://d.net#x://y", "http://long.net/" + "a-1?&=/" * 20000]
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").union(spark.createDataFrame([(9000 + i, u) for i, u in enumerate(odd)], "page_id long, url string"))
     rows = {r["page_id"]: r for r in urls.judge(pages).collect()}
     for r in pages.collect():
@@ -602,6 +602,46 @@ def test_urls_boosting_learns(spark):
     assert all((got[i] == "block") == bool(y) for i, (_, y) in enumerate(rows))
 
 
+def test_urls_held_out_hosts(spark):
+    """Trees grown from the labels of some hosts judge hosts that they have not seen."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    host, _ = urls.parts(F.col("url"))
+    site = F.substring_index(host, ".", -3)
+    held = F.crc32(F.encode(site, "UTF-8")) % 2 == 0
+    labelled = pages.where(~held).select("url", urls.seeded(host).alias("label"))
+    got = urls.judge(pages.where(held), rules=(("allow", "nowhere", "/"),), labelled=labelled)
+    table = Counter((r["verdict"] == "block", r["label"] == 1.0) for r in got.withColumn("label", urls.seeded(F.col("host"))).collect())
+    assert sum(table.values()) > 80 and (table[True, True] + table[False, False]) / sum(table.values()) > 0.95
+
+
+def test_urls_trees_against_plain_boosting(spark):
+    rng = random.Random(3)
+    rows = [(x, y, z, float((x > 7) != (y > 3) or z == 15), float(rng.randrange(1, 5))) for x, y, z in ((rng.randrange(16), rng.randrange(16), rng.randrange(16)) for _ in range(300))]
+    table = spark.createDataFrame(rows, "a int, b int, c int, label double, n double")
+    base, trees = urls.boost(table, ["a", "b", "c"], trees=4)
+    x, label, n = np.array([r[:3] for r in rows]), np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+    score = np.full(len(rows), np.log((n * label).sum() / (n * (1 - label)).sum()))
+
+    def grow(at, g, h, depth):
+        best, whole = (2e-6, None, None), g[at].sum() ** 2 / (h[at].sum() + 1)
+        for f in range(3):
+            for b in range(15):
+                low, high = at & (x[:, f] <= b), at & (x[:, f] > b)
+                gain = g[low].sum() ** 2 / (h[low].sum() + 1) + g[high].sum() ** 2 / (h[high].sum() + 1) - whole
+                if gain > best[0] + 1e-9:
+                    best = (gain, f, b)
+        if not depth or best[1] is None:
+            return [(at, urls.RATE * g[at].sum() / (h[at].sum() + 1))]
+        return grow(at & (x[:, best[1]] <= best[2]), g, h, depth - 1) + grow(at & (x[:, best[1]] > best[2]), g, h, depth - 1)
+
+    for _ in range(4):
+        p = 1 / (1 + np.exp(-score))
+        for at, value in grow(np.ones(len(rows), bool), n * (label - p), n * p * (1 - p), 2):
+            score[at] += value
+    got = table.selectExpr(" + ".join([f"{base!r}D", *[f"({t})" for t in trees]]) + " as s").collect()
+    assert [r[0] for r in got] == pytest.approx(score.tolist())
+
+
 # --- kernels
 
 
