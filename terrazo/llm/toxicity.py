@@ -9,8 +9,9 @@ only the words that won. Thresholds are set by language on a part of the trainin
 did not see, and scores are bent so that the language's threshold comes out as 0.3. The language is
 guessed from the text's function words; the column lang is not read.
 
-Training rows are bounded by TRAIN_ROWS, drawn by a hash of the id; their encoded words come to the driver.
-Scoring is a map over all texts, without a shuffle.
+Training rows are bounded: TRAIN_ROWS labelled documents and TRAIN_WORDS words at most on average of a draw by hashes of id and
+text, equal rows once, texts of more than LONG words not among them; their encoded words come to the driver.
+Scoring is a map over all whole texts, without a shuffle.
 
 Defined cases: a null or wordless text scores as a text with no response (the pooled vector is zero);
 a doc_id that is null is held out of training; labels that are null are ignored; of several labels of one
@@ -36,6 +37,8 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 #: Labelled documents that the network is trained on, at most (on average of the draw by hash).
 TRAIN_ROWS = 6000
+#: Words of all training texts together (on average of the draw), and of one of them, at most.
+TRAIN_WORDS, LONG = 4_000_000, 50_000
 #: Passes over the training rows at least, and steps (of 64 rows) at least.
 EPOCHS, STEPS = 6, 1200
 CUT = 0.3
@@ -243,13 +246,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 5) -> Network:
-    """A network from the labelled documents that are not held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_words: int = TRAIN_WORDS, seed: int = 5) -> DataFrame:
+    """doc_id, text and label of the documents that the network is trained on: none held out, equal rows once."""
     known = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic")).where(~held_out(F.col("_id")))
     n = known.count()
     if n > train_rows:
         known = known.where(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 20)) < int(train_rows / n * (1 << 20)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))  # train_rows rows on average
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))  # train_rows ids on average
+    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "_id", "text")).withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)))
+    rows = rows.where(F.col("_n") <= LONG)
+    found, n_words = rows.groupBy("_id", "_h").agg(F.first("_n").alias("_n")).agg(F.count(F.lit(1)), F.sum("_n")).first()
+    share = min(1.0, train_rows / max(1, found), train_words / max(1, n_words or 0))
+    if found > n or share < 1:  # an id has several texts, or they are long: draw among them too
+        rows = rows.where(F.pmod(F.xxhash64("_h"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    once = rows.groupBy("_id", "_h").agg(F.first("text").alias("text"), F.first("_toxic").alias("_toxic"))
+    return once.select(F.col("_id").cast("long").alias("doc_id"), "text", F.col("_toxic").cast("int").alias("label"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 5, train_words: int = TRAIN_WORDS) -> Network:
+    """A network from the labelled documents that are not held out."""
+    rows = training_rows(docs, labels, train_rows, train_words, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed:
                 parts = [x.tobytes() for x in np.split(ids, np.cumsum(count)[:-1])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(parts, pa.binary()), pa.array(languages(h, count).astype(np.int32)), batch.column(2).slice(lo, hi - lo)], names=["id", "ids", "language", "label"])
 
-    encoded = rows.select(F.col("doc_id").cast("long"), "text", F.col("_toxic").cast("int")).mapInArrow(run, "id long, ids binary, language int, label int")
+    encoded = rows.mapInArrow(run, "id long, ids binary, language int, label int")
     got = sorted(encoded.collect(), key=lambda r: (r[0], bytes(r[1])))
     return train([(bytes(r[1]), r[2], int(r[3] > 0)) for r in got], seed)
 
