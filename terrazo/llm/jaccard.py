@@ -12,12 +12,12 @@ links reach.
    all copies into one class, whatever the size of the group.
    Then neighbours by size in the postings of step 4 are tried, which is linear too.
 4. What is left is found exactly. Under any order of tokens two linked sets share one of the first
-   n - ceil(n * PERCENT / 100) + 1 tokens. Pieces post those of their members. A posting whose pieces are all in one
-   class is passed over; else its pieces of different classes are a query piece and a group piece. Tokens
+   n - ceil(n * PERCENT / 100) + 1 tokens. Pieces post those of their members. Postings are counted by token before any
+   moves: tokens of one class are passed over; else the pieces of different classes are a query piece and a group piece. Tokens
    posted by more than FEW classes, and tokens of many classes in the documents that post those, go to the end of
    the order and the postings are made anew, so that a passage in many documents posts nothing unless a document consists of it.
-   Postings meet only where sizes leave room for a link, and pairs go on only if they share as many posted
-   tokens as a link must.
+   At most PUT_BACK tokens go back, those of the most classes. Postings meet only where sizes leave room for a link, and
+   pairs go on only if they share as many posted tokens as a link must.
 5. For each pair of pieces the bound is taken first: a member's tokens in the other's union, against what its size
    needs. Only members that reach it are opened, by a product of the bit matrices.
 6. Classes are connected components of the links.
@@ -47,8 +47,10 @@ N = 4
 PERCENT = 85
 #: Members of a piece; pairs of minima of a document; classes that may post one token before it is put back.
 PIECE, BANDS, FEW = 64, 5, 32
-#: Tokens put back that are sent to every executor, at most; if they are more, all keep their place, which costs time only.
+#: Tokens put back, which are sent to every executor: those of the most classes, if there are more.
 PUT_BACK = 1_000_000
+#: Columns of a bit matrix that are opened at once.
+COLUMNS = 1 << 16
 #: A token is so many bits of its words' hash; a document's number in its chunk takes the others.
 TOKEN_BITS = 54
 #: Share (one in so many documents, by hash) that tokens to put back are looked for in.
@@ -198,25 +200,21 @@ def _neighbours(p: np.ndarray, c: np.ndarray, packed: np.ndarray, percent: int)
     return _once(p[:-1][good], p[1:][good], need[good])
 
 
-def _meet(batches: Iterator[pa.RecordBatch], few: int | None, percent: int) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by token: pairs of pieces. With few, only neighbours meet, and tokens of more classes are named (b null)."""
+def _meet(batches: Iterator[pa.RecordBatch], every: bool, percent: int) -> Iterator[pa.RecordBatch]:
+    """Postings sorted by token: pairs of pieces, every one or those of neighbours by size only."""
     held: list[tuple] = []
     token = None
 
-    def flush(out: tuple[list, list, list, list]) -> None:
+    def flush(out: tuple[list, list, list]) -> None:
         p, c, packed = (np.concatenate(x) for x in zip(*held, strict=True))
         if (c == c[0]).all():
             return
-        if few is not None and len(np.unique(c)) > few:
-            out[2].append(np.array([token]))
-        for to, x in zip((out[0], out[1], out[3]), (_pairs if few is None else _neighbours)(p, c, packed, percent), strict=True):
+        for to, x in zip(out, (_pairs if every else _neighbours)(p, c, packed, percent), strict=True):
             to.append(x)
 
-    def rows(out: tuple[list, list, list, list]) -> pa.RecordBatch:
+    def rows(out: tuple[list, list, list]) -> pa.RecordBatch:
         none = np.zeros(0, np.int64)
-        x, y, need = np.concatenate([none, *out[0], *out[2]]), np.concatenate([none, *out[1]]), np.concatenate([none, *out[3]])
-        b, n = (pa.concat_arrays([pa.array(v), pa.nulls(len(x) - len(v), pa.int64())]) for v in (y, need))
-        return pa.RecordBatch.from_arrays([pa.array(x), b, n], names=["a", "b", "need"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x])) for x in out], names=["a", "b", "need"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -232,7 +230,7 @@ def _meet(batches: Iterator[pa.RecordBatch], few: int | None, percent: int) -> I
         room, need = _bounds(packed[i], packed[j], percent)
         good = room & (p[i] != p[j])
         # One row for each token that a pair shares: they are counted.
-        out: tuple[list, list, list, list] = ([np.minimum(p[i[good]], p[j[good]])], [np.maximum(p[i[good]], p[j[good]])], [], [need[good]])
+        out: tuple[list, list, list] = ([np.minimum(p[i[good]], p[j[good]])], [np.maximum(p[i[good]], p[j[good]])], [need[good]])
         for k in np.union1d(np.setdiff1d(busy, two), [0, len(starts) - 1]).tolist():
             s, e = starts[k], ends[k]
             if held and t[s] != token:
@@ -242,7 +240,7 @@ def _meet(batches: Iterator[pa.RecordBatch], few: int | None, percent: int) -> I
             held.append((p[s:e], c[s:e], packed[s:e]))
         yield rows(out)
     if held:
-        out = ([], [], [], [])
+        out = ([], [], [])
         flush(out)
         yield rows(out)
 
@@ -257,9 +255,12 @@ def _blobs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
         if len(ids) == 1:
             return piece, ids.tolist(), count.tolist(), g.tobytes(), np.packbits(np.ones(len(g), bool)).tobytes()
         union, where = np.unique(g, return_inverse=True)
-        bits = np.zeros((len(ids), len(union)), bool)
-        bits[np.repeat(np.arange(len(ids)), count), where] = True
-        return piece, ids.tolist(), count.tolist(), union.tobytes(), np.packbits(bits, axis=1).tobytes()
+        bits, at = np.zeros((len(ids), -(-len(union) // 8)), np.uint8), 0
+        for row, n in zip(bits, count.tolist(), strict=True):
+            of = where[at : at + n]  # distinct and sorted
+            np.bitwise_or.at(row, of >> 3, (128 >> (of & 7)).astype(np.uint8))
+            at += n
+        return piece, ids.tolist(), count.tolist(), union.tobytes(), bits.tobytes()
 
     def out(done: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*done, strict=True)) if done else [()] * 5
@@ -290,11 +291,31 @@ def _blobs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
 BLOB = "piece long, ids array<long>, sizes array<long>, `union` binary, bits binary"
 
 
-def _open(ids: pa.Scalar, sizes: pa.Scalar, union: pa.Scalar, bits: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    i, s = np.array(ids.as_py(), np.int64), np.array(sizes.as_py(), np.int64)
-    u = np.frombuffer(union.as_py(), np.uint64)
-    m = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8).reshape(len(i), -1), axis=1, count=len(u)) if len(u) else np.zeros((len(i), 0), np.uint8)
-    return i, s, u, m
+class Piece:
+    """A piece as stored: members, their sizes, the token union, a bit for each member and token."""
+
+    def __init__(self, ids: pa.Scalar, sizes: pa.Scalar, union: pa.Scalar, bits: pa.Scalar):
+        self.ids, self.sizes = np.array(ids.as_py(), np.int64), np.array(sizes.as_py(), np.int64)
+        self.union = np.frombuffer(union.as_py(), np.uint64)
+        self.bits = np.frombuffer(bits.as_py(), np.uint8).reshape(len(self.ids), -1)
+
+    def columns(self, at: np.ndarray, members: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Which of the members have the tokens at these places of the union."""
+        return (self.bits[members][:, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+
+
+def _shares(x: Piece, y: Piece, in_x: np.ndarray, in_y: np.ndarray, of_x: np.ndarray, of_y: np.ndarray) -> np.ndarray:
+    """Tokens that members of_x of x share with members of_y of y. in_x, in_y: places of the common tokens in the unions."""
+    both = np.zeros((len(of_x), len(of_y)), np.int64)
+    for s in range(0, len(in_x), COLUMNS):
+        a, b = x.columns(in_x[s : s + COLUMNS], of_x), y.columns(in_y[s : s + COLUMNS], of_y)
+        both += (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
+    return both
+
+
+def _covered(x: Piece, at: np.ndarray) -> np.ndarray:
+    """Tokens of each member at these places of the union."""
+    return sum((x.columns(at[s : s + COLUMNS]).sum(1, dtype=np.int64) for s in range(0, len(at), COLUMNS)), np.zeros(len(x.ids), np.int64))
 
 
 def _within(linked: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,25 +332,25 @@ def _within(linked: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ids[off], ids[label[off]]
 
 
-def links(x: tuple, y: tuple | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def links(x: Piece, y: Piece | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between pieces x and y, enough to connect what is linked; with y None, within x."""
-    xi, xs, xu, xm = x
     if y is None:
-        both = xm.astype(np.float32) @ xm.astype(np.float32).T
-        linked = 100 * both >= percent * (xs[:, None] + xs[None, :] - both)
-        return _within(linked & (xs[:, None] > 0), xi)
-    yi, ys, yu, ym = y
-    at = np.minimum(np.searchsorted(yu, xu), max(0, len(yu) - 1))
-    shared = np.flatnonzero(yu[at] == xu) if len(yu) else np.zeros(0, np.int64)
-    if not len(shared):
+        every, members = np.arange(len(x.union)), np.arange(len(x.ids))
+        both = _shares(x, x, every, every, members, members)
+        linked = 100 * both >= percent * (x.sizes[:, None] + x.sizes[None, :] - both)
+        return _within(linked & (x.sizes[:, None] > 0), x.ids)
+    xi, xs, yi, ys = x.ids, x.sizes, y.ids, y.sizes
+    at = np.minimum(np.searchsorted(y.union, x.union), max(0, len(y.union) - 1))
+    in_x = np.flatnonzero(y.union[at] == x.union) if len(y.union) else np.zeros(0, np.int64)
+    if not len(in_x):
         return xi[:0], xi[:0]
-    xm, ym = xm[:, shared], ym[:, at[shared]]
+    in_y = at[in_x]
     # The bound: a link of a set of n tokens shares at least ceil(n * percent / 100) with the other, so with its union.
-    open_x = np.flatnonzero(100 * xm.sum(1, dtype=np.int64) >= percent * xs)
-    open_y = np.flatnonzero(100 * ym.sum(1, dtype=np.int64) >= percent * ys)
+    open_x = np.flatnonzero(100 * _covered(x, in_x) >= percent * xs)
+    open_y = np.flatnonzero(100 * _covered(y, in_y) >= percent * ys)
     if not len(open_x) or not len(open_y):
         return xi[:0], xi[:0]
-    both = xm[open_x].astype(np.float32) @ ym[open_y].astype(np.float32).T
+    both = _shares(x, y, in_x, in_y, open_x, open_y)
     linked = 100 * both >= percent * (xs[open_x][:, None] + ys[open_y][None, :] - both)
     r, c = np.nonzero(linked)
     # Each member of either side keeps its first link, and each connected part keeps its own: a spanning forest.
@@ -355,8 +376,8 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     for batch in batches:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in range(batch.num_rows):
-            x = _open(*(batch.column(i)[k] for i in range(4)))
-            y = _open(*(batch.column(i)[k] for i in range(4, 8))) if batch.column(4)[k].is_valid else None
+            x = Piece(*(batch.column(i)[k] for i in range(4)))
+            y = Piece(*(batch.column(i)[k] for i in range(4, 8))) if batch.column(4)[k].is_valid else None
             p, q = links(x, y, percent)
             a.append(p)
             b.append(q)
@@ -374,22 +395,21 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     if has_variants:
         return _of_variants(rows, scratch, n, percent)
     nodes = sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n").alias("n"))
-    # Group by the first pair of minima; a large group is dealt into pieces by hash.
+    # Group by the first pair of minima; a large group is dealt into pieces by hash. Only large groups are looked up, so no group moves as one.
     nodes = scratch.cut(nodes.groupBy("node").agg(F.first("bands").alias("bands"), F.min("n").alias("least"), F.max("n").alias("most")), "nodes")
     first = F.col("bands")[0]
-    group = nodes.groupBy(first.alias("g")).agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead"))
-    placed = nodes.join(group, first == F.col("g"))
-    deal = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / F.lit(PIECE)))
-    deal = F.when(F.col("members") <= PIECE, F.lit(0)).otherwise(deal)
-    placed = scratch.cut(placed.select("node", "bands", "least", "most", F.xxhash64("g", deal).alias("piece"), "members"), "placed")
+    large = scratch.cut(nodes.groupBy(first.alias("g")).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > PIECE), "large")
+    placed = nodes.join(small(large, large.count()), first == F.col("g"), "left")
+    deal = F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / F.lit(PIECE))), F.lit(0))
+    placed = scratch.cut(placed.select("node", "bands", "least", "most", F.xxhash64(first, deal).alias("piece")), "placed")
 
     # Linear joins: within pieces of several members, and of each piece with the first that shares a pair of minima.
-    span = placed.groupBy("piece").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    seen = placed.select("piece", F.explode("bands").alias("band")).join(span, "piece").select("band", F.struct("piece", "least", "most").alias("p"))
+    span = placed.groupBy("piece").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("members"))
+    seen = placed.select("piece", F.explode("bands").alias("band")).distinct().join(span, "piece").select("band", F.struct("piece", "least", "most").alias("p"))
     lead = seen.groupBy("band").agg(F.min("p").alias("lead"), F.max("p.piece").alias("last")).where("lead.piece <> last").select(F.col("band").alias("_band"), "lead")
     fits = f"p.piece <> lead.piece AND 100 * p.most >= {percent} * lead.least AND 100 * lead.most >= {percent} * p.least"
     near = seen.join(lead, F.col("band") == F.col("_band")).where(fits).select(F.col("p.piece").alias("a"), F.col("lead.piece").alias("b")).distinct()
-    within = placed.where("members > 1").select(F.col("piece").alias("a"), F.lit(None).cast("long").alias("b")).distinct()
+    within = span.where("members > 1").select(F.col("piece").alias("a"), F.lit(None).cast("long").alias("b"))
     near = scratch.cut(near.unionByName(within), "near")
 
     def verify(pairs: DataFrame, tag: str) -> DataFrame:
@@ -420,33 +440,45 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
     held = members_of(class_of, "member")
 
-    def meet(held: DataFrame, back: PutBack, few: int | None, tag: str) -> DataFrame:
+    def meet(held: DataFrame, back: PutBack, every: bool, tag: str) -> tuple[DataFrame, DataFrame | None]:
+        """Pairs of pieces that share posted tokens. Without every: of neighbours only, and tokens of more than FEW classes are left
+        out and returned with their classes. Only postings of tokens with several classes move to meet."""
         shared = spark.sparkContext.broadcast(back)
-        posted = held.mapInArrow(lambda b: _prefixes(b, n, percent, shared.value), "token long, piece long, class long, packed long")
-        met = posted.repartition("token").sortWithinPartitions("token").mapInArrow(lambda b: _meet(b, few, percent), "a long, b long, need long")
-        return scratch.cut(met, tag)
-
-    def few_tokens(df: DataFrame) -> np.ndarray | None:
-        """The tokens, if they are few enough to be sent to every executor."""
-        k = df.count()
-        return None if k > PUT_BACK else np.array([r[0] for r in df.toLocalIterator()], np.int64).view(np.uint64)
+        posted = scratch.cut(held.mapInArrow(lambda b: _prefixes(b, n, percent, shared.value), "token long, piece long, class long, packed long"), f"{tag}posted")
+        mixed = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("token", "c")
+        mixed = scratch.cut(mixed, f"{tag}mixed")
+        heavy, n_mixed = None, mixed.count()
+        if not every:
+            busy = mixed.where(F.col("c") > FEW).select("token")
+            of = posted.join(small(busy, busy.count()), "token", "left_semi").groupBy("token", "class").agg(F.lit(1).alias("x"))
+            heavy = scratch.cut(of.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FEW), f"{tag}heavy")
+            mixed = mixed.join(small(heavy.select("token"), heavy.count()), "token", "left_anti")
+        some = posted.join(small(mixed.select("token"), n_mixed), "token", "left_semi")
+        met = some.repartition("token").sortWithinPartitions("token").mapInArrow(lambda b: _meet(b, every, percent), "a long, b long, need long")
+        met = scratch.cut(met, tag)
+        scratch.drop(f"{tag}posted", f"{tag}mixed")
+        return met, heavy
+
+    def most_held(df: DataFrame) -> np.ndarray:
+        """The tokens, those of the most classes if they are more than PUT_BACK."""
+        if df.count() > PUT_BACK:
+            df = df.orderBy(F.desc("c"), "token").limit(PUT_BACK)
+        return np.array([r[0] for r in df.select("token").toLocalIterator()], np.int64).view(np.uint64)
 
     def counted(met: DataFrame, share: int) -> DataFrame:
         """Pairs of pieces that share as many posted tokens as a link must (one in share of them, where not all meet)."""
-        pairs = met.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need"))
+        pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need"))
         return pairs.where(F.col("shared") * share >= F.col("need")).select("a", "b")
 
-    met = meet(held, PutBack(np.zeros(0, np.uint64)), FEW, "met0")
-    heavy = few_tokens(met.where("b is null").select("a"))
-    back = heavy if heavy is not None else np.zeros(0, np.uint64)
+    met, heavy = meet(held, PutBack(np.zeros(0, np.uint64)), False, "met0")
+    back = most_held(heavy)
     if len(back):
         # Other tokens of the documents that post heavy ones may be as heavy: those of many classes go back too.
         shared = spark.sparkContext.broadcast(PutBack(back))
         some = held.where(F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(LOOK_IN)) == 0)
         around = some.mapInArrow(lambda b: _around(b, n, percent, shared.value), "token long, class long")
         more = around.groupBy("token", "class").agg(F.lit(1).alias("x")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-        more = few_tokens(scratch.cut(more.where(F.col("c") > FEW // LOOK_IN).select("token"), "around"))
-        back = np.concatenate((back, more)) if more is not None else back
+        back = np.concatenate((back, most_held(scratch.cut(more.where(F.col("c") > FEW // LOOK_IN), "around"))))
     tried = scratch.cut(counted(met, 4), "tried")
     scratch.drop("met0", "around")
     star = lambda c: c.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -460,7 +492,7 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
     joined = scratch.cut(components(star(class_of).unionByName(between(verify(tried, "tried"), class_of)), scratch, "second"), "classes2")
     held = members_of(joined, "member2")
-    met = meet(held, PutBack(back), None, "met1")
+    met, _ = meet(held, PutBack(back), True, "met1")
     pairs = counted(met, 1).join(tried.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
     rest = verify(scratch.cut(pairs, "pairs"), "rest")
     final = components(star(joined).unionByName(between(rest, joined)), scratch, "last")

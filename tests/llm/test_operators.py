@@ -85,6 +85,24 @@ def test_jaccard_whole_and_tokens_put_back(spark, sf, monkeypatch):
     assert {r[0]: (r[1], r[2]) for r in jaccard.classes(d).collect()} == want
 
 
+def test_jaccard_hard_tables(spark, monkeypatch):
+    """Very long texts opened a few columns at a time, one passage in every document, few tokens that may go back."""
+    rng = random.Random(11)
+    passage, long = prose(rng, 30).split(), prose(rng, 3000).split()
+    texts = [" ".join(passage + prose(rng, rng.randrange(1, 12)).split()) for _ in range(80)]
+    for k in (0, 3, 30, 100, 300):
+        w = list(long)
+        for _ in range(k):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(jaccard, "COLUMNS", 100)
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    monkeypatch.setattr(jaccard, "PUT_BACK", 10)
+    assert {r[0]: (r[1], r[2]) for r in jaccard.classes(d).collect()} == brute.classes(rows)
+
+
 def test_jaccard_nulls_and_repeats(spark, empty):
     d = spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (None, None), (7, "z")], "doc_id long, text string")
     assert sorted((str(r[0]), r[1], r[2]) for r in jaccard.classes(d).collect()) == [("4", 2, 4), ("4", 2, 4), ("7", 1, 7), ("None", 0, None), ("None", 2, 4)]
@@ -446,6 +464,42 @@ def test_toxicity_held_out(spark):
     assert {r["score"] for r in toxicity.score(d.select("doc_id", "text").limit(5), none).collect()} == {0.0}
 
 
+def test_toxicity_training_rows_are_bounded(spark):
+    texts = [(1, f"text {i}") for i in range(800)] + [(4, "same text")] * 500 + [(5, "word " * 60_000), (8, "a b c"), (None, "q"), (9, None)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(None, 1), (8, None), (4, 1)], "doc_id long, toxic int")
+    held = {r[0] for r in d.where(toxicity.held_out(F.col("doc_id"))).select("doc_id").distinct().collect()}
+    every = toxicity.training_rows(d, lab).collect()
+    assert Counter(r["doc_id"] for r in every) == {k: v for k, v in {1: 800, 4: 1, 8: 1, 9: 1}.items() if k not in held}
+    assert all(r["label"] == (1 if r["doc_id"] == 4 else r["doc_id"] % 2) for r in every)
+    few = toxicity.training_rows(d, lab, train_rows=100).collect()
+    assert 0 < len(few) < 200 and len(toxicity.training_rows(d, lab, train_words=300).collect()) < 400
+
+
+def test_toxicity_scores_against_plain_convolution():
+    rng = np.random.Generator(np.random.PCG64(1))
+    net = toxicity.Network()
+    net.e = rng.normal(0, 1, net.e.shape).astype(np.float32)
+    net.thresholds = np.array([0.2, 0.4, 0.6, 0.8])
+    texts = ["", "one", "two words", "the of and a long er text with words " * 9, "der die das nicht", "el los las por", "x " * 700, "le la les"]
+    raw = [t.encode() for t in texts]
+    offs = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+    got = net.score(offs, np.frombuffer(b"".join(raw), np.uint8))
+    for t, x, score in zip(texts, raw, got, strict=True):
+        ids, _, _ = toxicity.hash_words(np.array([0, len(x)]), np.frombuffer(x, np.uint8))
+        v = [sum(net.e[k].astype(float) for k in word) for word in ids]
+        z = float(net.bias)
+        for c, (k, w, b) in enumerate(zip(toxicity.WIDTHS, net.w, net.b, strict=True)):
+            for f in range(toxicity.FILTERS):
+                r = [sum(float(v[i + j] @ w[j][:, f]) for j in range(k)) + float(b[f]) for i in range(len(v) - k + 1)]
+                z += max([0.0, *r]) * float(net.out[c * toxicity.FILTERS + f])
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        votes = [sum(word in line.split() for word in t.split()) for line in toxicity.LANGUAGES.values()]
+        cut = net.thresholds[int(np.argmax(votes))]
+        want = toxicity.CUT * p / cut if p < cut else toxicity.CUT + (1 - toxicity.CUT) * (p - cut) / (1 - cut)
+        assert score == pytest.approx(want, abs=1e-4)
+
+
 def test_toxicity_does_not_read_held_out_labels(spark, sf):
     d, lab = whole(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
 
