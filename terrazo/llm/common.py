@@ -14,11 +14,16 @@ BROADCAST_ROWS = 500_000
 
 
 class Scratch:
-    """Tables that one call writes to the shared folder. drop() removes those that nothing reads any more."""
+    """Tables that one call writes to the shared folder. drop() removes those that nothing reads any more; the rest goes when the
+    application ends, since results are read from them until then."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark, self.root = spark, scratch_path(spark, name)
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(root)
+        files.deleteOnExit(root)
 
     def cut(self, df: DataFrame, tag: str) -> DataFrame:
         """Write df and read it back: later stages restart from the files, not from df's lineage."""
