@@ -36,9 +36,11 @@ def session(name: str = "terrazo", cores: str = "*", shuffle_partitions: int = 8
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared checkpoint folder; in a temporary one only where none is named."""
+    """A new path in the cluster's shared checkpoint folder. Only a local session may do without one: it has a temporary folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.terrazo.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="terrazo-")
         spark.conf.set("spark.terrazo.checkpoint.dir", named)
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
