@@ -81,31 +81,35 @@ def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
 def lzw_codes(samples: bytes, bits: int = 8) -> bytes:
     """Code stream of samples of so many bits, with tables up to TABLE codes."""
     clear, end = 1 << bits, (1 << bits) + 1
-    codes, clears = [clear], [0]
-    put, table, free = codes.append, {}, end + 1
-    left = iter(samples)
-    prefix = next(left, None)
-    for s in left:
-        key = prefix << 8 | s
-        if (code := table.get(key)) is not None:
+    # Codes are held eight bits up, so that one with the next sample below it is the key of a table entry.
+    codes, clears = [clear << 8], [0]
+    put, free, full = codes.append, end + 1 << 8, TABLE << 8
+    table: dict[int, int] = {}
+    get = table.get
+    prefix = samples[0] << 8 if samples else None
+    for s in samples[1:]:
+        key = prefix | s
+        code = get(key)
+        if code:
             prefix = code
             continue
         put(prefix)
-        prefix = s
-        if free < TABLE:
+        prefix = s << 8
+        if free < full:
             table[key] = free
-            free += 1
+            free += 256
         else:
             clears.append(len(codes))
-            put(clear)
-            table, free = {}, end + 1
+            put(clear << 8)
+            table, free = {}, end + 1 << 8
+            get = table.get
     if prefix is not None:
         put(prefix)
-    put(end)
+    put(end << 8)
     # A clear code has the width that the code in its place would have; the first one has that of a new table.
     lengths = np.diff([*clears, len(codes)])
     widths = [np.array([bits + 1])] + [w for n in lengths.tolist() for w in (_widths(0, n, bits),)]
-    return _pack(np.array(codes, np.int64), np.concatenate(widths)[: len(codes)])
+    return _pack(np.array(codes, np.int64) >> 8, np.concatenate(widths)[: len(codes)])
 
 
 class Codes:
@@ -146,19 +150,24 @@ def read_codes(stream: bytes, bits: int, count: int) -> np.ndarray:
         codes, stop = reader.codes()
         if not codes:
             continue
-        table, previous = list(single), b""
-        add, put = table.append, out.append
-        for code in codes:
+        table, put = list(single), out.append
+        add = table.append
+        if codes[0] >= len(table):
+            raise ValueError("LZW code out of range")
+        previous = table[codes[0]]
+        put(previous)
+        growing = TABLE - len(table) + 1
+        for code in codes[1:growing]:
             try:
                 entry = table[code]
             except IndexError:
-                if not previous or code > len(table):
+                if code > len(table):
                     raise ValueError("LZW code out of range") from None
                 entry = previous + previous[:1]
-            if previous and len(table) < TABLE:
-                add(previous + entry[:1])
+            add(previous + entry[:1])
             put(entry)
             previous = entry
+        out += [table[code] for code in codes[growing:]]
         had = sum(map(len, out)) if len(out) < 2 * len(codes) else had + sum(map(len, out[-len(codes) :]))
     return np.frombuffer(b"".join(out)[:count], np.uint8)
 
@@ -247,21 +256,24 @@ def parse(data: bytes) -> Image:
     return Image(width, height, palette, background, loop, frames)
 
 
-def compose(image: Image) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(start in hundredths of a second, duration, canvas as height x width x RGBA) of each frame shown."""
+def _shown(image: Image) -> Iterator[tuple[int, int, np.ndarray]]:
+    """compose(), with a canvas that the next frame is drawn on."""
     canvas = np.zeros((image.height, image.width, 4), np.uint8)
     clock = 0
     for f in image.frames:
-        colours = np.frombuffer((f.palette or image.palette or GREY).ljust(768, b"\0")[:768], np.uint8).reshape(256, 3)
+        colours = np.full((256, 4), 255, np.uint8)
+        colours[:, :3] = np.frombuffer((f.palette or image.palette or GREY).ljust(768, b"\0")[:768], np.uint8).reshape(256, 3)
         before = canvas.copy() if f.disposal == 3 else None
         h = min(f.indices.shape[0], max(0, image.height - f.top))
         w = min(f.indices.shape[1], max(0, image.width - f.left))
         part = f.indices[:h, :w]
         area = canvas[f.top : f.top + h, f.left : f.left + w]
-        seen = np.ones(part.shape, bool) if f.transparent is None else part != f.transparent
-        area[seen, :3] = colours[part[seen]]
-        area[seen, 3] = 255
-        yield clock, f.delay, canvas.copy()
+        if f.transparent is None:
+            area[:] = colours[part]
+        else:
+            seen = part != f.transparent
+            area[seen] = colours[part[seen]]
+        yield clock, f.delay, canvas
         clock += f.delay
         if f.disposal == 2:
             area[:] = 0
@@ -269,10 +281,16 @@ def compose(image: Image) -> Iterator[tuple[int, int, np.ndarray]]:
             canvas = before
 
 
+def compose(image: Image) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start in hundredths of a second, duration, canvas as height x width x RGBA) of each frame shown."""
+    return ((start, lasts, canvas.copy()) for start, lasts, canvas in _shown(image))
+
+
 def histogram(canvas: np.ndarray, bins: int = 4) -> np.ndarray:
     """Counts of opaque pixels by bins**3 colours."""
-    rgb = canvas[canvas[..., 3] > 0][:, :3].astype(np.int64) * bins // 256
-    return np.bincount(rgb @ np.array([bins * bins, bins, 1]), minlength=bins**3)
+    level = (np.arange(256) * bins // 256).astype(np.uint16)
+    colour = (level[canvas[..., 0]] * bins + level[canvas[..., 1]]) * bins + level[canvas[..., 2]]
+    return np.bincount(colour[canvas[..., 3] > 0], minlength=bins**3)
 
 
 FRAMES = "frame int, start_cs long, duration_cs int, width int, height int, disposal int, histogram array<long>, pixels binary"
@@ -290,7 +308,7 @@ def frames_of(df: DataFrame, content: str, key: str) -> DataFrame:
                 rows = []
                 try:
                     image = parse(data.as_py() or b"")
-                    for i, ((start, lasts, canvas), f) in enumerate(zip(compose(image), image.frames, strict=True)):
+                    for i, ((start, lasts, canvas), f) in enumerate(zip(_shown(image), image.frames, strict=True)):
                         rows.append((i, start, lasts, image.width, image.height, f.disposal, histogram(canvas).tolist(), canvas.tobytes()))
                 except (ValueError, IndexError, struct.error):
                     rows = [(-1, 0, 0, 0, 0, 0, [], b"")]
@@ -312,7 +330,7 @@ def store(payload: np.ndarray) -> bytes:
 def feature_of(image: Image) -> str:
     """Size, frames, time, and the colours shown (those of eight levels a channel that occur) summed over the frames."""
     colours, lasts = np.zeros(512, np.int64), 0
-    for _, delay, canvas in compose(image):
+    for _, delay, canvas in _shown(image):
         colours += histogram(canvas, 8)
         lasts += delay
     shown = np.flatnonzero(colours)
