@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of values that a rank over all rows is counted in.
+RANGES = 256
+
+
 def _within(keys: list[str]) -> Window:
-    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    return Window.partitionBy(*keys)
 
 
 def robust_z(df: DataFrame, value: str, out: str, keys: list[str] | None = None, bound: float = 4.0, least: int = 10, missing: float | None = 0.0) -> DataFrame:
@@ -33,29 +37,49 @@ def robust_z(df: DataFrame, value: str, out: str, keys: list[str] | None = None,
     return d.withColumn(out, z).drop("_c", "_n", "_s")
 
 
-def avg_rank(value: str, keys: list[str] | None = None) -> Column:
-    """Average rank among the non-null values of the partition; null for null."""
-    w = _within(keys or [])
-    ties = Window.partitionBy(*(keys or [F.lit(1)]), value)
+def avg_rank(value: str, keys: list[str]) -> Column:
+    """Average rank among the non-null values of the group; null for null."""
+    w = _within(keys)
+    ties = Window.partitionBy(*keys, value)
     return F.when(F.col(value).isNotNull(), F.rank().over(w.orderBy(F.col(value).asc_nulls_last())) + (F.count(F.lit(1)).over(ties) - 1) / 2)
 
 
-def rank_pct(value: str, keys: list[str] | None = None) -> Column:
-    return avg_rank(value, keys) / F.count(value).over(_within(keys or []))
+def rank_pct(value: str, keys: list[str]) -> Column:
+    return avg_rank(value, keys) / F.count(value).over(_within(keys))
+
+
+def ranked(df: DataFrame, names: dict[str, str], keys: list[str] | None = None) -> DataFrame:
+    """df with the average ranks of columns (names: rank to column) among all rows, or those of the group; null for null.
+
+    Without keys the values are counted first, so that equal ones are one row; the counts are dealt into RANGES ranges
+    at approximate quantiles and summed within each, and a range begins at the sum of the lower ones. No task sorts all.
+    """
+    if keys:
+        return df.withColumns({out: avg_rank(value, keys) for out, value in names.items()})
+    probes = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    for out, value in names.items():
+        v = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v"))
+        edges = F.broadcast(v.agg(F.array_distinct(F.percentile_approx("_v", probes)).alias("_e")))
+        counts = v.groupBy("_v").agg(F.count(F.lit(1)).alias("_c")).crossJoin(edges).select("_v", "_c", F.size(F.filter("_e", lambda e: e < F.col("_v"))).alias("_p"))
+        lower = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows
+        starts = counts.groupBy("_p").agg(F.sum("_c").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_s"))
+        upto = Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rank = F.col("_s") + F.sum("_c").over(upto) - (F.col("_c") - 1) / 2
+        ranks = counts.join(F.broadcast(starts), "_p").select("_v", rank.alias(out))
+        df = df.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
+    return df
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None, least: int = 0) -> DataFrame:
     """Pearson correlation of average ranks over rows where both are there: keys, n, rho (null under least rows)."""
     keys = keys or []
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = d.withColumn("_rx", avg_rank(x, keys)).withColumn("_ry", avg_rank(y, keys))
+    d = ranked(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), {"_rx": x, "_ry": y}, keys)
     return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, F.corr("_rx", "_ry")).alias("rho"))
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
-    for c in (x, y, z):
-        d = d.withColumn(f"_r{c}", avg_rank(c))
+    d = ranked(d, {f"_r{c}": c for c in (x, y, z)})
     a = d.agg(F.corr(f"_r{x}", f"_r{y}").alias("xy"), F.corr(f"_r{x}", f"_r{z}").alias("xz"), F.corr(f"_r{y}", f"_r{z}").alias("yz"))
     return a.select(((F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))).alias("rho"))
 
@@ -69,7 +93,7 @@ def kruskal(df: DataFrame, value: str, group: str, least: int = 6) -> DataFrame:
     """H with tie correction over groups of at least so many values; k, n, h, epsilon2."""
     d = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     d = d.withColumn("_gn", F.count(F.lit(1)).over(Window.partitionBy(group))).where(F.col("_gn") >= least)
-    d = d.withColumn("_r", avg_rank(value))
+    d = ranked(d, {"_r": value})
     ties = d.groupBy(value).agg(F.count(F.lit(1)).cast("double").alias("t")).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
     g = d.groupBy(group).agg(F.sum("_r").alias("rs"), F.count(F.lit(1)).alias("ng"))
     s = g.agg(F.count(F.lit(1)).alias("k"), F.sum("ng").alias("n"), F.sum(F.col("rs") ** 2 / F.col("ng")).alias("q")).crossJoin(ties)
@@ -80,7 +104,8 @@ def kruskal(df: DataFrame, value: str, group: str, least: int = 6) -> DataFrame:
 
 def mann_whitney(df: DataFrame, value: str, first: Column) -> DataFrame:
     """U of the rows where first is true against the others, and the normal approximation's z (without tie correction)."""
-    d = df.where(F.col(value).isNotNull()).withColumn("_f", first).withColumn("_r", avg_rank(value))
+    d = df.where(F.col(value).isNotNull()).withColumn("_f", first)
+    d = ranked(d, {"_r": value})
     a = d.agg(F.sum(F.when(F.col("_f"), F.col("_r"))).alias("rs"), F.count_if(F.col("_f")).alias("n1"), F.count_if(~F.col("_f")).alias("n2"))
     a = a.withColumn("u", F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2)
     sd = F.sqrt(F.col("n1").cast("double") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12)

@@ -14,24 +14,32 @@ def topk(df: DataFrame, order: list, k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+#: Ranges of keys that are one block when the next filled range is looked for.
+BLOCK = 1024
+
+
 def asof_forward(left: DataFrame, right: DataFrame, key: str, right_key: str, value: str, bucket: float) -> DataFrame:
     """left with the value at the smallest right key not under the left's; else that of the largest right key.
 
     Right keys are put in ranges of width bucket; a left row meets its own range and the next one that isn't empty,
-    so rows are joined on equal ranges and not with all.
+    so rows are joined on equal ranges and not with all. The next filled range is found in the order of ranges, within blocks
+    of BLOCK ranges and then from block to block.
     """
     cell = F.floor(F.col(right_key) / bucket)
-    w = Window.orderBy("cell")
-    cells = right.groupBy(cell.alias("cell")).agg(F.min(F.struct(right_key, value)).alias("low")).withColumn("next", F.lead("low").over(w))
     top = right.agg(F.max_by(F.struct(right_key, value), F.col(right_key)).alias("top"))
     held = right.select(cell.alias("cell"), F.col(right_key).alias("_k"), F.col(value).alias("_v"))
     rows = left.withColumn("_row", F.monotonically_increasing_id()).withColumn("cell", F.floor(F.col(key) / bucket))
     own = rows.join(held, "cell", "left").groupBy("_row").agg(F.min(F.when(F.col("_k") >= F.col(key), F.struct("_k", "_v"))).alias("own"))
-    # The range after an empty one: the nearest filled range above, found on the few ranges there are.
-    filled = cells.select(F.col("cell").alias("_cell"), "low")
-    above = rows.select("cell").distinct().join(filled, F.col("_cell") > F.col("cell"), "left").groupBy("cell").agg(F.min(F.struct("_cell", "low")).alias("n")).select("cell", F.col("n.low").alias("above"))
+    asked = rows.where(F.col("cell").isNotNull()).select("cell", F.lit(None).cast(held.select(F.struct("_k", "_v").alias("low")).schema["low"].dataType).alias("low"))
+    marks = held.select("cell", F.struct("_k", "_v").alias("low")).unionByName(asked).groupBy("cell").agg(F.min("low").alias("low"))
+    marks = marks.withColumn("block", F.floor(F.col("cell") / BLOCK))
+    after = Window.partitionBy("block").orderBy("cell").rowsBetween(1, Window.unboundedFollowing)
+    blocks = marks.groupBy("block").agg(F.min_by("low", F.when(F.col("low").isNotNull(), F.col("cell"))).alias("least"))
+    later = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)  # over one row for each block
+    blocks = blocks.select("block", F.first("least", ignorenulls=True).over(later).alias("next"))
+    above = marks.withColumn("near", F.first("low", ignorenulls=True).over(after)).join(blocks, "block").select("cell", F.coalesce("near", "next").alias("above"))
     out = rows.join(own, "_row", "left").join(above, "cell", "left").crossJoin(F.broadcast(top))
-    pick = F.coalesce(F.col("own._v"), F.col(f"above.{value}"), F.col(f"top.{value}"))
+    pick = F.coalesce(F.col("own._v"), F.col("above._v"), F.col(f"top.{value}"))
     return out.select(*left.columns, pick.alias(value))
 
 

@@ -39,9 +39,7 @@ _MATRIX = f"WITH t AS ({_L3}), k AS (SELECT {_ranks()} FROM t), m AS (SELECT cor
 
 
 def _matrix(spark, d) -> DataFrame:
-    t = _three(spark, d)
-    for c in "abc":
-        t = t.withColumn(f"r{c}", A.avg_rank(c))
+    t = A.ranked(_three(spark, d), {f"r{c}": c for c in "abc"})
     return t.agg(F.corr("ra", "rb").alias("ab"), F.corr("ra", "rc").alias("ac"), F.corr("rb", "rc").alias("bc"))
 
 
