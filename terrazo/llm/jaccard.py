@@ -447,13 +447,14 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         posted = scratch.cut(held.mapInArrow(lambda b: _prefixes(b, n, percent, shared.value), "token long, piece long, class long, packed long"), f"{tag}posted")
         mixed = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("token", "c")
         mixed = scratch.cut(mixed, f"{tag}mixed")
-        heavy, n_mixed = None, mixed.count()
+        heavy = None
         if not every:
             busy = mixed.where(F.col("c") > FEW).select("token")
             of = posted.join(small(busy, busy.count()), "token", "left_semi").groupBy("token", "class").agg(F.lit(1).alias("x"))
             heavy = scratch.cut(of.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FEW), f"{tag}heavy")
             mixed = mixed.join(small(heavy.select("token"), heavy.count()), "token", "left_anti")
-        some = posted.join(small(mixed.select("token"), n_mixed), "token", "left_semi")
+        # Tokens with several classes grow with the corpus, so they are never sent to all.
+        some = posted.join(mixed.select("token").hint("shuffle_hash"), "token", "left_semi")
         met = some.repartition("token").sortWithinPartitions("token").mapInArrow(lambda b: _meet(b, every, percent), "a long, b long, need long")
         met = scratch.cut(met, tag)
         scratch.drop(f"{tag}posted", f"{tag}mixed")
