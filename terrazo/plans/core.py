@@ -281,17 +281,9 @@ def join_overlap_gate(spark, d):
     return g.agg(F.count(F.lit(1)).alias("n")).where("n >= 30")
 
 
-@query("asof_lookup", """WITH c AS (SELECT p_retailprice k, min(p_size) v FROM part WHERE p_partkey%10=0 GROUP BY 1), t AS (SELECT arg_max(v,k) v FROM c)
- SELECT s_suppkey, coalesce(v.v, t.v) AS v FROM supplier LEFT JOIN LATERAL (SELECT v FROM c WHERE k>=s_acctbal ORDER BY k LIMIT 1) v ON true, t""")
-def asof_lookup(spark, d):
-    curve = table(spark, d, "part").where("p_partkey % 10 = 0").groupBy(F.col("p_retailprice").alias("k")).agg(F.min("p_size").alias("v"))
-    return R.asof_forward(table(spark, d, "supplier", "s_suppkey", "s_acctbal"), curve, "s_acctbal", "k", "v", 100.0).select("s_suppkey", "v")
-
-
-@query("asof_lookup_all", """WITH c AS (SELECT p_retailprice k, min(p_size) v FROM part GROUP BY 1), t AS (SELECT arg_max(v,k) v FROM c)
+@query("asof_lookup", """WITH c AS (SELECT p_retailprice k, min(p_size) v FROM part GROUP BY 1), t AS (SELECT arg_max(v,k) v FROM c)
  SELECT s_suppkey, coalesce(c.v, t.v) AS v FROM supplier ASOF LEFT JOIN c ON s_acctbal<=c.k, t""")
-def asof_lookup_all(spark, d):
-    """The curve of all parts; asof_lookup is the thinned curve that its SQL states."""
+def asof_lookup(spark, d):
     curve = table(spark, d, "part").groupBy(F.col("p_retailprice").alias("k")).agg(F.min("p_size").alias("v"))
     return R.asof_forward(table(spark, d, "supplier", "s_suppkey", "s_acctbal"), curve, "s_acctbal", "k", "v", 10.0).select("s_suppkey", "v")
 
@@ -494,14 +486,8 @@ def _half_sd(lines: DataFrame, reps: int) -> DataFrame:
     return m.groupBy("g").agg(r(F.stddev_pop("d"), 3).alias("sd"))
 
 
-@query("split_half", """WITH h AS (SELECT l_partkey g, rep, l_extendedprice v, row_number() OVER (PARTITION BY l_partkey, rep ORDER BY md5(rep||'|'||l_orderkey||'|'||l_linenumber), l_orderkey, l_linenumber, l_extendedprice)%2 half FROM lineitem, (SELECT unnest(range(5)) rep) WHERE l_partkey<=50), m AS (SELECT g, rep, avg(CASE WHEN half=0 THEN v END)-avg(CASE WHEN half=1 THEN v END) d FROM h GROUP BY 1,2) SELECT g, round(stddev_pop(d),3) sd FROM m GROUP BY 1""")
+@query("split_half", """WITH h AS (SELECT l_partkey g, rep, l_extendedprice v, row_number() OVER (PARTITION BY l_partkey, rep ORDER BY md5(rep||'|'||l_orderkey||'|'||l_linenumber), l_orderkey, l_linenumber, l_extendedprice)%2 half FROM lineitem, (SELECT unnest(range(25)) rep)), m AS (SELECT g, rep, avg(CASE WHEN half=0 THEN v END)-avg(CASE WHEN half=1 THEN v END) d FROM h GROUP BY 1,2) SELECT g, round(stddev_pop(d),3) sd FROM m GROUP BY 1""")
 def split_half(spark, d):
-    return _half_sd(table(spark, d, "lineitem").where("l_partkey <= 50"), 5)
-
-
-@query("split_half_all", """WITH h AS (SELECT l_partkey g, rep, l_extendedprice v, row_number() OVER (PARTITION BY l_partkey, rep ORDER BY md5(rep||'|'||l_orderkey||'|'||l_linenumber), l_orderkey, l_linenumber, l_extendedprice)%2 half FROM lineitem, (SELECT unnest(range(25)) rep)), m AS (SELECT g, rep, avg(CASE WHEN half=0 THEN v END)-avg(CASE WHEN half=1 THEN v END) d FROM h GROUP BY 1,2) SELECT g, round(stddev_pop(d),3) sd FROM m GROUP BY 1""")
-def split_half_all(spark, d):
-    """All groups and 25 splits; split_half is the slice that its SQL states."""
     return _half_sd(table(spark, d, "lineitem"), 25)
 
 

@@ -113,20 +113,9 @@ def morans_i(spark, d):
     return A.morans_i(P.knn(p, 8, 0.3).select("src", "dst"), p.select("id", F.col("label").cast("double").alias("v"))).select(r("morans_i", 6).alias("morans_i"), "n", "w")
 
 
-@query("perm_pvalue", """WITH t AS (SELECT c_custkey id, c_acctbal x, c_nationkey y, row_number() OVER (ORDER BY c_custkey) i FROM customer WHERE c_custkey<=150), s AS (SELECT rep, y, row_number() OVER (PARTITION BY rep ORDER BY md5(rep||'|'||id), id) i FROM t, (SELECT unnest(range(1,20)) rep)),
- n AS (SELECT rep, abs(corr(x, s.y)) c FROM t JOIN s USING(i) GROUP BY rep), o AS (SELECT abs(corr(x,y)) c FROM t) SELECT round((1+count_if(n.c>=o.c))/20.0,6) p, count(*) reps FROM n, o""")
+@query("perm_pvalue")
 def perm_pvalue(spark, d):
-    t = table(spark, d, "customer").where("c_custkey <= 150").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").alias("y")).withColumn("i", F.row_number().over(Window.orderBy("id")))
-    s = t.select("id", F.col("y").alias("ys"), F.explode(F.sequence(F.lit(1), F.lit(19))).alias("rep"))
-    s = s.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy(F.md5(F.concat_ws("|", "rep", "id")), "id"))).select("rep", "i", "ys")
-    n = t.join(s, "i").groupBy("rep").agg(F.abs(F.corr("x", "ys")).alias("c"))
-    o = t.agg(F.abs(F.corr("x", "y")).alias("o"))
-    return n.crossJoin(o).agg(r((1 + F.count_if(F.col("c") >= F.col("o"))) / 20.0).alias("p"), F.count(F.lit(1)).alias("reps"))
-
-
-@query("perm_pvalue_all")
-def perm_pvalue_all(spark, d):
-    """Every customer and 199 permutations; perm_pvalue is the slice that its SQL states."""
+    """Every customer and 199 permutations."""
     t = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").alias("y"))
     return A.perm_pvalue(t, 199).select(r("p").alias("p"), "reps")
 
@@ -397,22 +386,13 @@ def spearman_pvalue(spark, d):
     return C.mapped(s, run, "p_type string, n long, rho double, p double")
 
 
-@query("landcover_masks", """WITH g AS (SELECT l_orderkey rr, l_linenumber cc, l_extendedprice v FROM lineitem WHERE l_orderkey<=2000), m AS (SELECT a.rr, a.cc, avg(b.v) v FROM g a JOIN g b ON b.rr BETWEEN a.rr-2 AND a.rr+2 AND b.cc BETWEEN a.cc-2 AND a.cc+2 GROUP BY 1,2) SELECT count_if(v<lo) dark, count_if(v>hi) bright FROM m, (SELECT quantile_cont(v,0.02) lo, quantile_cont(v,0.99) hi FROM m)""")
-def landcover_masks(spark, d):
-    g = table(spark, d, "lineitem").where("l_orderkey <= 2000").select(F.col("l_orderkey").alias("rr"), F.col("l_linenumber").alias("cc"), F.col("l_extendedprice").alias("v"))
-    near = g.select(F.explode(F.sequence(F.col("rr") - 2, F.col("rr") + 2)).alias("rr"), "cc", "v").select("rr", F.explode(F.sequence(F.col("cc") - 2, F.col("cc") + 2)).alias("cc"), "v")
-    m = g.select("rr", "cc").join(near, ["rr", "cc"]).groupBy("rr", "cc").agg(F.avg("v").alias("v"))
-    q = F.broadcast(m.agg(F.percentile("v", 0.02).alias("lo"), F.percentile("v", 0.99).alias("hi")))
-    return m.crossJoin(q).agg(F.count_if(F.col("v") < F.col("lo")).alias("dark"), F.count_if(F.col("v") > F.col("hi")).alias("bright"))
-
-
 def _cells(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("rr"), F.col("l_linenumber").alias("cc"), "l_extendedprice", "l_quantity")
 
 
-@query("landcover_masks_all")
-def landcover_masks_all(spark, d):
-    """Every order, two layers as dates, blobs; landcover_masks is the slice that its SQL states."""
+@query("landcover_masks")
+def landcover_masks(spark, d):
+    """Every order, price and quantity as the dates that a mask must hold on."""
     return P.landcover_masks(_cells(spark, d), ["l_extendedprice", "l_quantity"])
 
 

@@ -16,7 +16,7 @@ def md5(*parts):
     return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
 
 
-def test_split_half_all_takes_every_group_and_25_splits(spark, sf):
+def test_split_half_takes_every_group_and_25_splits(spark, sf):
     groups = defaultdict(list)
     for g, *x in rows(spark, sf, "lineitem", "l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice"):
         groups[g].append(x)
@@ -29,7 +29,7 @@ def test_split_half_all_takes_every_group_and_25_splits(spark, sf):
             if len(v) > 1:
                 d.append(np.mean(v[1::2]) - np.mean(v[::2]))
         want[g] = float(np.std(d)) if d else None
-    got = {x["g"]: x["sd"] for x in QUERIES["split_half_all"](spark, sf).collect()}
+    got = {x["g"]: x["sd"] for x in QUERIES["split_half"](spark, sf).collect()}
     assert got.keys() == want.keys()
     assert all((got[g] is None) == (want[g] is None) and (got[g] is None or abs(got[g] - want[g]) < 0.001) for g in want)
 
@@ -106,15 +106,15 @@ def test_landcover_candidates_leave_out_nodata(spark, sf):
     assert {(r["cc"], r["mean"]) for r in landcover_candidates(few, "v").collect()} == {(1, 6.0), (2, 6.0)}
 
 
-def test_asof_lookup_all_uses_every_part(spark, sf):
+def test_asof_lookup_uses_every_part(spark, sf):
     curve = {}
     for k, v in rows(spark, sf, "part", "p_retailprice", "p_size"):
         curve[k] = min(v, curve.get(k, v))
     want = {s: curve[min((k for k in curve if k >= m), default=max(curve))] for s, m in rows(spark, sf, "supplier", "s_suppkey", "s_acctbal")}
-    assert {r["s_suppkey"]: r["v"] for r in QUERIES["asof_lookup_all"](spark, sf).collect()} == want
+    assert {r["s_suppkey"]: r["v"] for r in QUERIES["asof_lookup"](spark, sf).collect()} == want
 
 
-def test_perm_pvalue_all_takes_every_customer_and_199_permutations(spark, sf):
+def test_perm_pvalue_takes_every_customer_and_199_permutations(spark, sf):
     t = sorted(rows(spark, sf, "customer", "c_custkey", "c_acctbal", "c_nationkey"))
     from terrazo.operators.analytics import perm_pvalue
 
@@ -124,7 +124,7 @@ def test_perm_pvalue_all_takes_every_customer_and_199_permutations(spark, sf):
         null = [abs(np.corrcoef(x, y[order(rep)])[0, 1]) for rep in range(1, reps + 1)]
         return (1 + sum(c >= abs(np.corrcoef(x, y)[0, 1]) for c in null)) / (reps + 1)
 
-    got = QUERIES["perm_pvalue_all"](spark, sf).first()
+    got = QUERIES["perm_pvalue"](spark, sf).first()
     assert got["reps"] == 199 and abs(got["p"] - p(t, 199)) < 1e-6
     tied = [(k * 3, float(k), k + k % 5) for k in range(200)]  # ids over several ranges, a strong link: the least p
     few = perm_pvalue(spark.createDataFrame(tied, "id long, x double, y long"), 199, 50).first()
