@@ -25,7 +25,7 @@ def wcm_turning(a: float, b: float, soil: np.ndarray, incidence_deg: float, top:
 
 
 def wcm_invert(power: np.ndarray, a: float, b: float, soil: np.ndarray, incidence_deg: float, top: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
-    """Water content above the turning point by bisection, and a flag: ok, ambiguous, floor, sat or nan."""
+    """Water content above the turning point by bisection, and a flag: ok, ambiguous, floor, sat, or nan where power isn't above 0."""
     turn = wcm_turning(a, b, soil, incidence_deg, top)
     floor, ceiling = wcm_power(turn, a, b, soil, incidence_deg), wcm_power(np.full_like(soil, top), a, b, soil, incidence_deg)
     lo, hi = turn.copy(), np.full_like(soil, top)
@@ -35,18 +35,21 @@ def wcm_invert(power: np.ndarray, a: float, b: float, soil: np.ndarray, incidenc
         lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
     root = (lo + hi) / 2
     bare = wcm_power(np.zeros_like(soil), a, b, soil, incidence_deg)
-    flag = np.select([~np.isfinite(power) | ~np.isfinite(soil), power < floor, power > ceiling, power < bare], ["nan", "floor", "sat", "ambiguous"], "ok")
+    flag = np.select([~np.isfinite(power) | ~np.isfinite(soil) | (power <= 0), power <= floor, power >= ceiling, power < bare], ["nan", "floor", "sat", "ambiguous"], "ok")
     root = np.select([flag == "nan", flag == "floor", flag == "sat"], [np.nan, turn, top], root)
     return root, flag
 
 
 def glcm_entropy(image: np.ndarray, inside: np.ndarray, levels: int = 8) -> float:
-    """Mean Shannon entropy of symmetric co-occurrence in four directions; nan under 16 pixels."""
-    v = image[inside]
-    if len(v) < 16:
+    """Mean Shannon entropy (nats) of symmetric co-occurrence in four directions, over grey levels of the whole image.
+
+    nan under 16 pixels with a value, or where a direction has no pair inside.
+    """
+    inside = inside & np.isfinite(image)
+    if inside.sum() < 16:
         return float("nan")
-    lo, hi = np.percentile(v, [1, 99])
-    q = np.clip((image - lo) / max(hi - lo, 1e-12) * levels, 0, levels - 1).astype(int)
+    lo, hi = np.nanpercentile(image, [1, 99])
+    q = (np.clip((np.where(inside, image, lo) - lo) / max(hi - lo, 1e-6), 0, 1) * (levels - 1)).astype(int)
     out = []
     for dr, dc in ((0, 1), (1, 1), (1, 0), (1, -1)):
         rows, cols = image.shape
@@ -56,10 +59,11 @@ def glcm_entropy(image: np.ndarray, inside: np.ndarray, levels: int = 8) -> floa
         m = np.zeros((levels, levels))
         np.add.at(m, (q[r0, c0][both], q[r1, c1][both]), 1)
         m = m + m.T
-        if m.sum():
-            p = m[m > 0] / m.sum()
-            out.append(float(-(p * np.log2(p)).sum()))
-    return float(np.mean(out)) if out else float("nan")
+        if not m.sum():
+            return float("nan")
+        p = m[m > 0] / m.sum()
+        out.append(float(-(p * np.log(p)).sum()))
+    return float(np.mean(out))
 
 
 def boxcar(a: np.ndarray, size: int) -> np.ndarray:

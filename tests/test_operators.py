@@ -94,7 +94,20 @@ def test_wcm_round_trip():
     v = np.array([turn + 0.5, turn + 2, turn + 1, turn + 3])
     root, flag = K.wcm_invert(K.wcm_power(v, 0.3, 0.4, soil, 35.0), 0.3, 0.4, soil, 35.0)
     assert np.allclose(root, v, atol=1e-3)
-    assert K.wcm_invert(np.array([np.nan, 1e9]), 0.3, 0.4, soil[:2], 35.0)[1].tolist() == ["nan", "sat"]
+    power = np.array([np.nan, 0.0, -1.0, 1e9])
+    assert K.wcm_invert(power, 0.3, 0.4, soil, 35.0)[1].tolist() == ["nan", "nan", "nan", "sat"]
+
+
+def test_glcm_entropy_of_stripes():
+    stripes = np.tile([1.0, 2.0], (8, 4))
+    inside = np.ones(stripes.shape, bool)
+    # Rows, and both diagonals, change level at each step (two equal cells of the matrix); columns keep theirs (two as well).
+    assert abs(K.glcm_entropy(stripes, inside) - np.log(2)) < 1e-9
+    assert np.isnan(K.glcm_entropy(stripes, np.eye(8, dtype=bool)))
+    assert np.isnan(K.glcm_entropy(stripes, np.tile([True, False], (8, 4))))
+    # Levels come from the whole image: a flat parcel in it has one level.
+    wide = np.hstack([stripes, np.full((8, 8), 5.0)])
+    assert K.glcm_entropy(wide, wide == 5.0) == 0
 
 
 def test_coherence_and_offset():
