@@ -3,7 +3,9 @@
 Pass one scatters the records into buckets that fit in memory, by a seeded hash of their content.
 Pass two shuffles each bucket by Fisher-Yates, with a generator seeded by the bucket. A record's
 rank in the whole order is its bucket's offset plus its place in the bucket; rank r goes to shard
-r mod n, slot r div n. So counts of shards differ by one at most, and slots have no gaps.
+r mod n, slot r div n. So counts of shards differ by one at most, and slots have no gaps. Both passes
+move the whole records; from pass two each task writes its records to the shards' folders, in order of
+slots (a later bucket's slots are above an earlier one's), so nothing moves a third time.
 
 Rows that agree in all keys have one hash. Where they weigh more than a part of a bucket they are counted, and each of
 the copies gets a hash of its own from its number, so that they scatter as other rows do.
@@ -58,16 +60,17 @@ def _scattered(keyed: DataFrame, hash_: str, heavy: DataFrame) -> DataFrame:
     return keyed.join(heavy, hash_, "left_anti").select(*cols).unionByName(each.withColumn(hash_, own).select(*cols))
 
 
-def shuffle(df: DataFrame, size: str, keys: list[str], shards: int = SHARDS, seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shuffle(df: DataFrame, size: str, keys: list[str], shards: int = SHARDS, seed: int = 7, bucket_bytes: int = BUCKET_BYTES, scratch: Scratch | None = None) -> DataFrame:
     """df with columns shard and slot, in a uniform random order that depends on the rows' keys and the seed alone.
 
     size: the column with a row's bytes, from which the number of buckets follows. keys: the columns
-    that tell rows apart; rows that agree in all of them are in any order.
+    that tell rows apart; rows that agree in all of them are in any order. scratch: holds the tables
+    weights and buckets, which the result is read from.
     """
     spark = df.sparkSession
     hash_, bucket, place, offset, bytes_ = fresh(df, "hash", "bucket", "place", "offset", "bytes")
     shard, slot = fresh(df, "shard", "slot")
-    scratch = Scratch(spark, "shuffle")
+    scratch = scratch or Scratch(spark, "shuffle")
     keyed = df.withColumn(hash_, F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in keys]))
     weights = scratch.cut(keyed.groupBy(hash_).agg(F.sum(F.col(f"`{size}`").cast("double")).alias(bytes_)), "weights")
     heavy = F.col(bytes_) > bucket_bytes / HEAVY
@@ -100,22 +103,39 @@ def shuffle(df: DataFrame, size: str, keys: list[str], shards: int = SHARDS, see
 
 
 def write_shards(df: DataFrame, path: str, shard: str = "shard", slot: str = "slot", files: int = 1) -> None:
-    """Write each shard to a folder of its own, in slot order, as about so many files each; a task writes one file's range of slots."""
-    dealt = df.repartitionByRange(SHARDS * files, shard, slot) if files > 1 else df.repartition(shard)
+    """Write each shard to a folder of its own, in slot order, as about so many files each; a task writes one file's range of slots.
+
+    files 0: rows stay in their tasks, and each task writes a file of its slots to each shard.
+    """
+    dealt = df.repartitionByRange(SHARDS * files, shard, slot) if files > 1 else df.repartition(shard) if files else df
     dealt.sortWithinPartitions(shard, slot).write.partitionBy(shard).mode("overwrite").parquet(path)
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(
         "doc_id",
+        *more,
         (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("long").alias("text_crc32"),
     )
 
 
+def sharded(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The documents with shard and slot (_shard and _slot where documents have such columns), read back from the shards' files."""
+    scratch = Scratch(docs.sparkSession, "shards")
+    crc, size, shard, slot = fresh(docs, "text_crc32", "size", "shard", "slot")
+    rows = docs.withColumn(crc, F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).withColumn(size, F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)
+    out = shuffle(rows, size, ["doc_id", crc], bucket_bytes=bucket_bytes, scratch=scratch).drop(crc, size)
+    scratch.drop("weights")
+    write_shards(out, f"{scratch.root}/shards", shard, slot, 0)
+    scratch.drop("buckets")
+    return docs.sparkSession.read.schema(out.schema).parquet(f"{scratch.root}/shards")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shuffle(sized(documents(spark, sf_dir)), "size", ["doc_id", "text_crc32"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """Of the whole documents in their shards: size and text_crc32 are of the texts as stored there."""
+    out = sharded(documents(spark, sf_dir))
+    return sized(out, "shard", "slot").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, bucket_bytes: int = 16 << 20) -> DataFrame:

@@ -223,6 +223,18 @@ def test_sharding_is_a_shuffle_and_writes(spark, tmp_path):
     assert sorted(str(r["doc_id"]) for r in sharding.stage(spark, nulls, "").collect()) == [str(2**62 + 1), "None", "None"]
 
 
+def test_sharding_moves_whole_texts_into_the_shards(spark, sf, monkeypatch):
+    wrote, write = [], sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda df, path, *a: (wrote.append(path), write(df, path, *a)))
+    out = {(r["shard"], r["slot"]): r for r in QUERIES["op8_sharding"](spark, sf).collect()}
+    docs = whole(spark, sf)
+    stored = spark.read.parquet(wrote[0]).collect()
+    assert sorted(map(str, (r[c] for r in stored for c in docs.columns))) == sorted(map(str, (v for r in docs.collect() for v in r)))
+    assert len(stored) == len(out) and all(out[r["shard"], r["slot"]]["text_crc32"] == brute.crc(r["text"]) for r in stored)
+    small = sharding.sharded(docs, bucket_bytes=2000).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in small) == Counter((r["doc_id"], r["text"]) for r in stored)
+
+
 def test_fisher_yates():
     rng = np.random.default_rng(0)
     seen = Counter(tuple(sharding.fisher_yates(3, rng).tolist()) for _ in range(6000))
