@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrazo.functions import scalars as S
 from terrazo.operators import analytics as A
 from terrazo.operators import gates as G
+from terrazo.operators import halves as H
 from terrazo.operators import relational as R
 from terrazo.sources import files as IO
 
@@ -477,18 +478,10 @@ def hybrid_sample(spark, d):
     return a.withColumn("part", F.lit("stratified")).unionByName(b.withColumn("part", F.lit("weak")))
 
 
-def _half_sd(lines: DataFrame, reps: int) -> DataFrame:
-    """SD, over so many random half-splits of each part's rows, of the difference of the halves' means."""
-    p = lines.select(F.col("l_partkey").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), F.col("l_extendedprice").alias("v"), "l_orderkey", "l_linenumber")
-    w = Window.partitionBy("g", "rep").orderBy(F.md5(F.concat_ws("|", "rep", "l_orderkey", "l_linenumber")), "l_orderkey", "l_linenumber", "v")
-    h = p.withColumn("half", F.row_number().over(w) % 2)
-    m = h.groupBy("g", "rep").agg((F.avg(F.when(F.col("half") == 0, F.col("v"))) - F.avg(F.when(F.col("half") == 1, F.col("v")))).alias("d"))
-    return m.groupBy("g").agg(r(F.stddev_pop("d"), 3).alias("sd"))
-
-
 @query("split_half", """WITH h AS (SELECT l_partkey g, rep, l_extendedprice v, row_number() OVER (PARTITION BY l_partkey, rep ORDER BY md5(rep||'|'||l_orderkey||'|'||l_linenumber), l_orderkey, l_linenumber, l_extendedprice)%2 half FROM lineitem, (SELECT unnest(range(25)) rep)), m AS (SELECT g, rep, avg(CASE WHEN half=0 THEN v END)-avg(CASE WHEN half=1 THEN v END) d FROM h GROUP BY 1,2) SELECT g, round(stddev_pop(d),3) sd FROM m GROUP BY 1""")
 def split_half(spark, d):
-    return _half_sd(table(spark, d, "lineitem"), 25)
+    t = table(spark, d, "lineitem").select(F.col("l_partkey").alias("g"), F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), F.col("l_extendedprice").alias("v"))
+    return H.half_sd(t, 25).select("g", r("sd", 3).alias("sd"))
 
 
 @query("set_operations", "SELECT 'union' op, count(*) n FROM (SELECT n_nationkey k FROM nation UNION ALL SELECT c_nationkey FROM customer) UNION ALL SELECT 'except', count(*) FROM (SELECT p_size FROM part EXCEPT SELECT n_nationkey FROM nation) UNION ALL SELECT 'intersect', count(*) FROM (SELECT p_size FROM part INTERSECT SELECT n_nationkey FROM nation)")

@@ -34,6 +34,34 @@ def test_split_half_takes_every_group_and_25_splits(spark, sf):
     assert all((got[g] is None) == (want[g] is None) and (got[g] is None or abs(got[g] - want[g]) < 0.001) for g in want)
 
 
+def test_split_half_deals_each_row_once(spark, sf, monkeypatch):
+    plan = QUERIES["split_half"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan.lower() and plan.count("Exchange") == 1
+    from terrazo.operators import halves
+
+    rng = np.random.default_rng(4)
+    pick = lambda most, n: [None if x == most else int(x) for x in rng.integers(0, most + 1, n)]
+    held = [(None if g == 9 else g * 10**12 - 5, a, b, None if v == 50 else v / 4) for g, a, b, v in zip(rng.integers(0, 10, 900), pick(30, 900), pick(4, 900), rng.integers(0, 51, 900).tolist(), strict=True)]
+    held = [(None if g is None else int(g), *x) for g, *x in held] + [(77, 1, 1, 2.0), (78, 1, 1, None), (78, 1, 2, None)]
+    last = lambda x: (x is None, x or 0)
+    want = {}
+    for g in {x[0] for x in held}:
+        d = []
+        for rep in range(12):
+            rows_ = [x for x in held if x[0] == g]
+            v = [x[3] for x in sorted(rows_, key=lambda x: (x[1] is None or x[2] is None, "" if None in x[1:3] else md5(rep, x[1], x[2]), *map(last, x[1:])))]
+            two = [[x for x in v[i::2] if x is not None] for i in (0, 1)]
+            if all(two):
+                d.append(np.mean(two[1]) - np.mean(two[0]))
+        want[g] = float(np.std(d)) if d else None
+    df = spark.createDataFrame(held, "g long, a long, b int, v double")
+    for heavy in (halves.HEAVY, 1):  # by the kernel, and by windows
+        monkeypatch.setattr(halves, "HEAVY", heavy)
+        got = {x["g"]: x["sd"] for x in halves.half_sd(df, 12).collect()}
+        assert got.keys() == want.keys()
+        assert all((got[g] is None) == (want[g] is None) and (got[g] is None or abs(got[g] - want[g]) < 1e-9) for g in want)
+
+
 def grown(seed, cells):
     """Cells joined to seed by sides."""
     seen, todo = {seed}, [seed]
