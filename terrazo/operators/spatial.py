@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrazo.session import scratch_path
 
+from .neighbours import nearest
+
 
 def shoelace_centroid(rings: DataFrame) -> DataFrame:
     """rings: id, part, seq, x, y. Area-weighted centroid over parts; a degenerate polygon gives its vertices' mean."""
@@ -23,54 +23,12 @@ def shoelace_centroid(rings: DataFrame) -> DataFrame:
     return s.select("id", "area", F.when(ok, F.col("mx") / F.nullif(F.col("area"), F.lit(0.0))).otherwise(F.col("vx")).alias("cx"), F.when(ok, F.col("my") / F.nullif(F.col("area"), F.lit(0.0))).otherwise(F.col("vy")).alias("cy"))
 
 
-#: A cell of the next coarser grid has so many cells on a side.
-COARSER = 4
-
-
-def nearest(asked: DataFrame, known: DataFrame, k: int, cell: float, same: list[str], others: bool = False) -> DataFrame:
-    """src (asked id), dst (known id), rank, d2 of the k nearest known points, ties by id; exact. Both tables: id, x, y and same.
+def knn(points: DataFrame, k: int, cell: float, same: str | None = None) -> DataFrame:
+    """points: id, x, y. src, dst, rank, d2 of the k nearest others, ties by id; exact. same: neighbours agree in this column.
 
-    Points are dealt into square cells and an asked point meets the 3 x 3 cells around it. If its k-th neighbour there is no
-    farther than one cell it is settled; the others, points far from all else among them, go to a grid that is COARSER times as
-    coarse, and so on until three cells hold everything. So the cells that a point looks into are nine on each grid,
-    however far its neighbours are. same: columns that neighbours agree in; others: a point isn't its own neighbour.
+    cell is of no effect any more: blocks follow the points' density.
     """
-    spark = asked.sparkSession
-    root = scratch_path(spark, "nearest")
-
-    def cut(df: DataFrame, tag: str) -> DataFrame:
-        df.write.parquet(f"{root}/{tag}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{tag}")
-
-    e = asked.select("x", "y").unionByName(known.select("x", "y")).agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
-    widest = max(float(e["w"] or 0), float(e["h"] or 0))
-    q = known.select(*[F.col(c).alias(f"_{c}") for c in ["id", "x", "y", *same]])
-    left, out, size, level = asked.select("id", "x", "y", *same), [], float(cell), 0
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    d2 = (F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2
-    w = Window.partitionBy("id").orderBy("d2", "_id")
-    while True:
-        near = left.withColumn("d", F.explode(around)).withColumn("gx", F.floor(F.col("x") / size) + F.col("d.i")).withColumn("gy", F.floor(F.col("y") / size) + F.col("d.j"))
-        held = q.withColumn("_gx", F.floor(F.col("_x") / size)).withColumn("_gy", F.floor(F.col("_y") / size))
-        cond = [F.col("gx") == F.col("_gx"), F.col("gy") == F.col("_gy"), *[F.col(c) == F.col(f"_{c}") for c in same]] + ([F.col("id") != F.col("_id")] if others else [])
-        got = near.join(held, cond).withColumn("d2", d2).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        got = got.select(F.col("id").alias("src"), F.col("_id").alias("dst"), "rank", "d2")
-        if widest <= size:
-            out.append(got)
-            break
-        got = cut(got, f"grid{level}")
-        settled = got.where((F.col("rank") == k) & (F.sqrt("d2") <= size)).select(F.col("src").alias("_s"))
-        out.append(got.join(settled, F.col("src") == F.col("_s"), "left_semi"))
-        left = cut(left.join(settled, F.col("id") == F.col("_s"), "left_anti"), f"left{level}")
-        if left.isEmpty():
-            break
-        size, level = size * COARSER, level + 1
-    return reduce(DataFrame.unionByName, out)
-
-
-def knn(points: DataFrame, k: int, cell: float, same: str | None = None) -> DataFrame:
-    """points: id, x, y. src, dst, rank, d2 of the k nearest others, ties by id; exact. same: neighbours agree in this column."""
-    return nearest(points, points, k, cell, [same] if same else [], others=True)
+    return nearest(points, points, k, [same] if same else [], others=True)
 
 
 def point_in_polygon(points: DataFrame, edges: DataFrame, cell: float) -> DataFrame:

@@ -48,3 +48,28 @@ def test_neighbours_of_points_far_away(spark, same):
     for i, x, y, g in points:
         near = sorted(((x - a) ** 2 + (y - b) ** 2, j) for j, a, b, h in points if j != i and (same is None or h == g))[:4]
         assert [j for _, j in sorted(got[i])] == [j for _, j in near]
+
+
+@pytest.mark.parametrize("same", [None, "g"])
+def test_neighbours_in_blocks_of_any_density(spark, same, monkeypatch):
+    from terrazo.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    rng = random.Random(6)
+    points = [(rng.gauss(0, 1e-3), rng.gauss(0, 1e-3)) for _ in range(500)] + [(rng.uniform(-50, 50), float(rng.randrange(3))) for _ in range(300)] + [(1.0, 2.0)] * 150 + [(float(i % 12), float(i // 12)) for i in range(144)] + [(1e7, 1e7)]
+    rng.shuffle(points)
+    points = [(i * 3, *p, i % 2) for i, p in enumerate(points)]
+    d = spark.createDataFrame(points, "id long, x double, y double, g int")
+    got = {}
+    for r in spatial.knn(d, 5, 1.0, same).collect():
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"], r["d2"]))
+    for i, x, y, g in points:
+        near = sorted(((x - a) * (x - a) + (y - b) * (y - b), j) for j, a, b, h in points if j != i and (same is None or h == g))[:5]
+        assert sorted(got[i]) == [(n, j, d2) for n, (d2, j) in enumerate(near, 1)]
+
+
+def test_neighbours_make_no_pairs_in_spark(spark, sf):
+    from terrazo.plans.catalog import QUERIES
+
+    plan = QUERIES["join_knn"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "explode" not in plan.lower()
