@@ -73,3 +73,10 @@ def test_neighbours_make_no_pairs_in_spark(spark, sf):
 
     plan = QUERIES["join_knn"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "explode" not in plan.lower()
+
+
+def test_morans_i_joins_edges_only(spark, sf):
+    from terrazo.plans.catalog import QUERIES
+
+    plan = QUERIES["morans_i"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "gx" not in plan  # no pairs of points by cells
