@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,32 +52,128 @@ def grid_cell(size: float):
     return F.concat_ws("_", F.floor(F.col("x") / size), F.floor(F.col("y") / size))
 
 
+#: A tile has so many cells on a side; a dense array stands for its cells where it has at most DENSE places for each.
+TILE, DENSE = 4096, 64
+#: Rows of a task, about.
+TASK_ROWS = 300_000
+
+
+def _means(rr: np.ndarray, cc: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]], radius: int) -> list[np.ndarray]:
+    """At distinct cells: each layer's mean over the square around. held: each layer's sums and counts."""
+    r0, c0 = int(rr.min()), int(cc.min())
+    h, w = int(rr.max()) - r0 + 1 + 2 * radius, int(cc.max()) - c0 + 1 + 2 * radius
+    span = range(2 * radius + 1)
+    y, x = rr - r0 + radius, cc - c0 + radius
+    if h * w <= DENSE * len(rr) + 10_000:
+        def around(v: np.ndarray) -> np.ndarray:
+            g = np.zeros((h, w), v.dtype)
+            g[y, x] = v
+            rows = sum(g[k : h - 2 * radius + k] for k in span)
+            return sum(rows[:, k : w - 2 * radius + k] for k in span)[y - radius, x - radius]
+    else:
+        key = y * w + x
+        order = np.argsort(key)
+        key_ = key[order]
+        at = [np.searchsorted(key_, key + j * w + i) for j in range(-radius, radius + 1) for i in range(-radius, radius + 1)]
+        steps = [j * w + i for j in range(-radius, radius + 1) for i in range(-radius, radius + 1)]
+
+        def around(v: np.ndarray) -> np.ndarray:
+            v = np.append(v[order], v.dtype.type(0))
+            keys = np.append(key_, -1)
+            return sum(np.where(keys[a] == key + s, v[a], 0) for a, s in zip(at, steps, strict=True))
+
+    return [around(s) / around(n) for s, n in held]
+
+
 def smooth(cells: DataFrame, layers: list[str], radius: int) -> DataFrame:
     """cells: rr, cc, layers. Cells that have all layers, with each layer's mean over the square around; missing values are left out.
 
-    Sums and counts go along rows and then along columns, so a cell is copied 2 (2 radius + 1) times, not the square of that.
+    Cells move once, to the tile that holds them, and those at a tile's border to its neighbours too; sums are taken there.
     """
-    there = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c)) for c in layers]
-    d = cells.groupBy("rr", "cc").agg(*[F.sum(v).alias(f"{c}_s") for v, c in zip(there, layers, strict=True)], *[F.count(v).alias(f"{c}_n") for v, c in zip(there, layers, strict=True)])
-    own = F.lit(True)
-    for c in layers:
-        own = own & (F.col(f"{c}_n") > 0)
-    d = d.withColumn("_own", own)
-    parts = [f"{c}_{k}" for c in layers for k in "sn"]
-    for axis, other in (("rr", "cc"), ("cc", "rr")):
-        d = d.withColumn("_d", F.explode(F.sequence(F.lit(-radius), F.lit(radius))))
-        d = d.select((F.col(axis) + F.col("_d")).alias(axis), other, *parts, (F.col("_own") & (F.col("_d") == 0)).alias("_own"))
-        d = d.groupBy("rr", "cc").agg(*[F.sum(c).alias(c) for c in parts], F.bool_or("_own").alias("_own"))
-    return d.where("_own").select("rr", "cc", *[(F.col(f"{c}_s") / F.col(f"{c}_n")).alias(c) for c in layers])
+    kinds = {c: cells.schema[c].dataType.simpleString() for c in ("rr", "cc")}
+    d = cells.select(F.col("rr").cast("long").alias("rr"), F.col("cc").cast("long").alias("cc"), *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c)).cast("double").alias(c) for c in layers])
+    d = d.where(F.col("rr").isNotNull() & F.col("cc").isNotNull())
+    for a, t in (("rr", "_ty"), ("cc", "_tx")):
+        d = d.withColumn(t, F.explode(F.sequence(F.floor((F.col(a) - radius) / TILE), F.floor((F.col(a) + radius) / TILE))))
+    n = cells.count()
+    tasks = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // TASK_ROWS)
+
+    def tile(t: pa.Table) -> pa.Table:
+        col = {c: t[c].to_numpy(zero_copy_only=False) for c in ("rr", "cc", "_ty", "_tx")}
+        rr, cc = col["rr"], col["cc"]
+        order = np.lexsort((cc, rr))
+        rr, cc = rr[order], cc[order]
+        new = np.append(True, (np.diff(rr) != 0) | (np.diff(cc) != 0))
+        starts = np.flatnonzero(new)
+        held = []
+        for c in layers:
+            v = t[c].combine_chunks().take(pa.array(order))
+            held.append((np.add.reduceat(v.fill_null(0.0).to_numpy(), starts), np.add.reduceat(v.is_valid().to_numpy(zero_copy_only=False).astype(float), starts)))
+        rr, cc = rr[starts], cc[starts]
+        own = (rr // TILE == col["_ty"][0]) & (cc // TILE == col["_tx"][0])
+        for _, k in held:
+            own &= k > 0
+        with np.errstate(invalid="ignore"):
+            mean = _means(rr, cc, held, radius)
+        return pa.table({"rr": rr[own], "cc": cc[own], **{c: m[own] for c, m in zip(layers, mean, strict=True)}})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for b in batches:
+            if not len(b):
+                continue
+            t = pa.Table.from_batches([b])
+            ty, tx = (t[c].to_numpy() for c in ("_ty", "_tx"))
+            edge = np.append(np.flatnonzero((np.diff(ty) != 0) | (np.diff(tx) != 0)) + 1, len(t))
+            if held and (held[0]["_ty"][0].as_py(), held[0]["_tx"][0].as_py()) != (ty[0], tx[0]):
+                yield from tile(pa.concat_tables(held)).to_batches(max_chunksize=50_000)
+                held = []
+            held.append(t.slice(0, edge[0]))
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                yield from tile(pa.concat_tables(held)).to_batches(max_chunksize=50_000)
+                held = [t.slice(lo, hi - lo)]
+        if held:
+            yield from tile(pa.concat_tables(held)).to_batches(max_chunksize=50_000)
+
+    shape = "rr long, cc long, " + ", ".join(f"`{c}` double" for c in layers)
+    out = d.repartition(tasks, "_ty", "_tx").sortWithinPartitions("_ty", "_tx").mapInArrow(run, shape)
+    return out.select(*[F.col(c).cast(kinds[c]).alias(c) for c in ("rr", "cc")], *layers)
+
+
+def percentiles(df: DataFrame, column: str, at: list[float]) -> list[float | None]:
+    """Exact percentiles, between two values in a line, without all values in one place: those near each are counted."""
+    v = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
+    wide = 2e-4
+    low = [F.percentile_approx("v", F.lit(max(0.0, p - wide)), 10_000) for p in at]
+    high = [F.percentile_approx("v", F.lit(min(1.0, p + wide)), 10_000) for p in at]
+    first = v.agg(F.count("v"), F.min("v"), F.max("v"), *low, *high).first()
+    n, out = first[0], []
+    if not n:
+        return [None] * len(at)
+    for i, p in enumerate(at):
+        place = p * (n - 1)
+        lo, hi = first[3 + i], first[3 + len(at) + i]
+        below = v.where(F.col("v") < lo).count()
+        near = sorted(map(tuple, v.where(F.col("v").between(lo, hi)).groupBy("v").count().collect()))
+        if not below <= int(place) <= int(np.ceil(place)) < below + sum(c for _, c in near):  # the approximate ones missed
+            out.append(v.agg(F.percentile("v", p)).first()[0])
+            continue
+        ends = below + np.cumsum([c for _, c in near])
+        a, b = (near[int(np.searchsorted(ends, k, side="right"))][0] for k in (int(place), int(np.ceil(place))))
+        out.append(float(a if a == b else (np.ceil(place) - place) * a + (place - int(place)) * b))
+    return out
 
 
 def _extremes(cells: DataFrame, layers: list[str], low: float, high: float) -> DataFrame:
     """cells with dark and bright: at or beyond the low and high percentile of every layer."""
-    q = cells.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_q{c}") for c in layers])
+    path = scratch_path(cells.sparkSession, "means")
+    cells.write.parquet(path)
+    cells = cells.sparkSession.read.schema(cells.schema).parquet(path)
     dark, bright = F.lit(True), F.lit(True)
     for c in layers:
-        dark, bright = dark & (F.col(c) <= F.col(f"_q{c}")[0]), bright & (F.col(c) >= F.col(f"_q{c}")[1])
-    return cells.crossJoin(F.broadcast(q)).withColumn("dark", dark).withColumn("bright", bright).drop(*[f"_q{c}" for c in layers])
+        a, b = percentiles(cells, c, [low, high])
+        dark, bright = dark & (F.col(c) <= F.lit(a).cast("double")), bright & (F.col(c) >= F.lit(b).cast("double"))
+    return cells.withColumn("dark", dark).withColumn("bright", bright)
 
 
 def blobs(cells: DataFrame) -> DataFrame:

@@ -106,6 +106,25 @@ def test_landcover_masks_need_every_date_and_large_blobs(spark):
         assert {(r["rr"], r["cc"]) for r in got if r[name]} == want, name
 
 
+def test_means_over_tiles_and_exact_percentiles(spark, monkeypatch):
+    from terrazo.operators import spatial
+
+    rng = np.random.default_rng(7)
+    cells = {(int(y), int(x)): float(v) for y, x, v in zip(rng.integers(-40, 40, 900), rng.integers(-30, 60, 900), rng.normal(size=900), strict=True)} | {(10**9, -(10**9)): 3.0, (10**9 + 1, 5): 4.0}
+    df = spark.createDataFrame([(*c, v) for c, v in cells.items()], "rr long, cc int, v double")
+    plan = spatial.smooth(df, ["v"], 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "HashAggregate" not in plan
+    want = means(cells, 2)
+    for tile, dense in ((16, 64), (64, -10_000)):  # small tiles, and no dense arrays
+        monkeypatch.setattr(spatial, "TILE", tile)
+        monkeypatch.setattr(spatial, "DENSE", dense)
+        got = {(r["rr"], r["cc"]): r["v"] for r in spatial.smooth(df, ["v"], 2).collect()}
+        assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-9 for c in want)
+    for v in (rng.normal(size=5000).tolist(), [1.0] * 700 + [2.0] * 10, [5.0]):
+        d = spark.createDataFrame([(x,) for x in v] + [(None,)], "v double")
+        assert np.allclose(spatial.percentiles(d, "v", [0.02, 0.5, 0.99]), np.percentile(v, [2, 50, 99]), rtol=0, atol=1e-12)
+
+
 def test_blobs_join_long_winding_runs(spark):
     cells = {(y, x) for y in range(21) for x in range(21) if y % 2 == 0 or x == (20 if y % 4 == 1 else 0)} | {(40, 0), (41, 1)}
     from terrazo.operators.spatial import blobs
