@@ -37,8 +37,9 @@ def robust_z(df: DataFrame, value: str, out: str, keys: list[str] | None = None,
     return d.withColumn(out, z).drop("_c", "_n", "_s")
 
 
-def avg_rank(value: str, keys: list[str]) -> Column:
-    """Average rank among the non-null values of the group; null for null."""
+def avg_rank(value: str, keys: list[str] | None = None) -> Column:
+    """Average rank among the non-null values of the group; null for null. Without keys all rows meet in one task: ranked() has no such bound."""
+    keys = keys or []
     w = _within(keys)
     ties = Window.partitionBy(*keys, value)
     return F.when(F.col(value).isNotNull(), F.rank().over(w.orderBy(F.col(value).asc_nulls_last())) + (F.count(F.lit(1)).over(ties) - 1) / 2)
