@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -235,6 +236,21 @@ def test_sharding_moves_whole_texts_into_the_shards(spark, sf, monkeypatch):
     assert Counter((r["doc_id"], r["text"]) for r in small) == Counter((r["doc_id"], r["text"]) for r in stored)
 
 
+def test_sharding_keeps_no_copy_of_the_texts_beside_the_shards(spark, monkeypatch):
+    held, write = [], sharding.write_shards
+
+    def watched(df, path, *a):
+        write(df, path, *a)
+        held.extend(spark.read.parquet(str(p)).columns for p in Path(path).parent.iterdir() if p.name != "shards")
+
+    monkeypatch.setattr(sharding, "write_shards", watched)
+    rows = [(i, "t" * (i % 50)) for i in range(700)] + [(3, "same " * 40)] * 500 + [(None, None)] * 300
+    out = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), bucket_bytes=8000).collect()
+    assert held and not any("text" in columns for columns in held)
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(rows)
+    assert sorted(r["slot"] * 40 + r["shard"] for r in out) == list(range(1500))
+
+
 def test_fisher_yates():
     rng = np.random.default_rng(0)
     seen = Counter(tuple(sharding.fisher_yates(3, rng).tolist()) for _ in range(6000))
