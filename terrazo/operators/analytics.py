@@ -139,9 +139,15 @@ def qcut(df: DataFrame, value: str, q: int, out: str) -> DataFrame:
 
 
 def morans_i(edges: DataFrame, values: DataFrame) -> DataFrame:
-    """edges: src, dst; values: id, v. n / W * sum z_i z_j / sum z^2."""
-    z = values.crossJoin(F.broadcast(values.agg(F.avg("v").alias("_m")))).select("id", (F.col("v") - F.col("_m")).alias("z"))
-    num = edges.join(z.select(F.col("id").alias("src"), F.col("z").alias("zi")), "src").join(z.select(F.col("id").alias("dst"), F.col("z").alias("zj")), "dst").agg(F.sum(F.col("zi") * F.col("zj")).alias("num"), F.count(F.lit(1)).alias("w"))
+    """edges: src, dst, and v (the value at dst) where it is at hand; values: id, v. n / W * sum z_i z_j / sum z^2.
+
+    With v no edge moves: those of a src are summed where they stand.
+    """
+    mean = F.broadcast(values.agg(F.avg("v").alias("_m")))
+    z = values.crossJoin(mean).select("id", (F.col("v") - F.col("_m")).alias("z"))
+    near = edges if "v" in edges.columns else edges.join(values.select(F.col("id").alias("dst"), "v"), "dst")
+    near = near.crossJoin(mean).groupBy("src").agg(F.sum(F.col("v") - F.col("_m")).alias("zj"), F.count(F.lit(1)).alias("c"))
+    num = near.join(z.select(F.col("id").alias("src"), F.col("z").alias("zi")), "src").agg(F.sum(F.col("zi") * F.col("zj")).alias("num"), F.coalesce(F.sum("c"), F.lit(0)).alias("w"))
     den = z.agg(F.sum(F.col("z") ** 2).alias("den"), F.count(F.lit(1)).alias("n"))
     return num.crossJoin(den).select((F.col("n") / F.col("w") * F.col("num") / F.col("den")).alias("morans_i"), "n", "w")
 

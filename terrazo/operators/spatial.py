@@ -27,12 +27,13 @@ def shoelace_centroid(rings: DataFrame) -> DataFrame:
     return s.select("id", "area", F.when(ok, F.col("mx") / F.nullif(F.col("area"), F.lit(0.0))).otherwise(F.col("vx")).alias("cx"), F.when(ok, F.col("my") / F.nullif(F.col("area"), F.lit(0.0))).otherwise(F.col("vy")).alias("cy"))
 
 
-def knn(points: DataFrame, k: int, cell: float, same: str | None = None) -> DataFrame:
+def knn(points: DataFrame, k: int, cell: float, same: str | None = None, carry: str | None = None) -> DataFrame:
     """points: id, x, y. src, dst, rank, d2 of the k nearest others, ties by id; exact. same: neighbours agree in this column.
+    carry: a column of points that comes out too, with dst's value.
 
     cell is of no effect any more: blocks follow the points' density.
     """
-    return nearest(points, points, k, [same] if same else [], others=True)
+    return nearest(points, points, k, [same] if same else [], others=True, carry=carry)
 
 
 def point_in_polygon(points: DataFrame, edges: DataFrame, cell: float) -> DataFrame:

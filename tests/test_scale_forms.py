@@ -82,6 +82,41 @@ def test_morans_i_joins_edges_only(spark, sf):
     assert "gx" not in plan  # no pairs of points by cells
 
 
+def test_morans_i_moves_no_edges(spark, sf):
+    from terrazo.plans.catalog import QUERIES
+
+    plan = QUERIES["morans_i"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "dst" not in "".join(x for x in plan.splitlines() if "Join" in x or "Window" in x or "Exchange" in x)
+    assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") + plan.count("BroadcastHashJoin") <= 1
+
+
+@pytest.mark.parametrize("same", [None, "g"])
+def test_morans_i_of_points_with_copies(spark, same, monkeypatch):
+    from terrazo.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    rng = random.Random(11)
+    places = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(300)]
+    places += [(1.0, 2.0)] * 40 + [(0.0, -0.0), (0.0, 0.0)] + [rng.choice(places) for _ in range(100)]
+    rng.shuffle(places)
+    points = [(i * 3, *p, i % 2, None if i % 17 == 0 else rng.uniform(-3, 9)) for i, p in enumerate(places)]
+    d = spark.createDataFrame(points, "id long, x double, y double, g int, v double")
+    value, near = {p[0]: p[4] for p in points}, {}
+    for i, x, y, g, _ in points:
+        near[i] = [j for _, j in sorted(((x - a) * (x - a) + (y - b) * (y - b), j) for j, a, b, h, _ in points if j != i and (same is None or h == g))[:5]]
+    got = {}
+    for r in spatial.knn(d, 5, 1.0, same, "v").collect():
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"], r["v"]))
+    assert {i: sorted(l) for i, l in got.items()} == {i: [(n, j, value[j]) for n, j in enumerate(l, 1)] for i, l in near.items()}
+    there = [v for v in value.values() if v is not None]
+    z = {i: None if v is None else v - sum(there) / len(there) for i, v in value.items()}
+    num = sum(z[i] * z[j] for i, l in near.items() for j in l if z[i] is not None and z[j] is not None)
+    want = len(points) / (5 * len(points)) * num / sum(v * v for v in z.values() if v is not None)
+    for edges in (spatial.knn(d, 5, 1.0, same, "v"), spatial.knn(d, 5, 1.0, same).select("src", "dst")):
+        out = analytics.morans_i(edges, d.select("id", "v")).first()
+        assert abs(out["morans_i"] - want) < 1e-9 and (out["n"], out["w"]) == (len(points), 5 * len(points))
+
+
 def test_boxes_overlap_without_a_kernel(spark, monkeypatch):
     from terrazo.functions import polygons
     from terrazo.operators import parcels
